@@ -43,19 +43,52 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import dedup
 
     return dedup.find_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan_documents(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tokenfiles
+
+    return tokenfiles.digests(tokenfiles.write_and_read(read_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import unigram
+
+    return unigram.count_tokens(read_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_rules, op5_exact_dedup, op10_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_simhash, op3_quality_rules, op4_lm_scoring, op5_exact_dedup, op6_license_scan, op7_token_files, op8_token_counts, op9_html_text, op10_bpe)
+}
 ORACLES = {
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
