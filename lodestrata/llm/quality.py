@@ -139,5 +139,9 @@ def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows of docs that the policy doesn't reject, with all their columns."""
-    return ledger(docs, carry=True).where(~rejects(policy)).select("__row.*")
+    """The rows of docs that the policy doesn't reject, with all their columns.
+
+    The row number holds the filter above the ledger: pushed below it, the condition would hold
+    every measure's expression, and evaluate it anew for each word."""
+    led = ledger(docs, carry=True).withColumn("__number", F.monotonically_increasing_id())
+    return led.where(~rejects(policy) & (F.col("__number") >= 0)).select("__row.*")
