@@ -40,8 +40,8 @@ from .common import LOWER_AZ, TwoGenerationCache, documents, materialize, partit
 
 MU = 2000.0
 PAIR_LEAST = 2
-BITS_PER_ENTRY, PROBES, MAX_BITS = 10, 6, 1 << 30
-HOT_WORDS = 1 << 20
+BITS_PER_ENTRY, PROBES, MAX_BITS = 9, 6, 1 << 28
+HOT_WORDS = 1 << 18
 REGION_ENTRIES = 1 << 20
 #: Of a task's n-grams, before they are counted and sent.
 TASK_TOKENS = 4_000_000
@@ -112,26 +112,29 @@ class Filter:
         return (mix(h) >> np.uint64(40)).astype(np.int64) % regions
 
     @staticmethod
-    def places(h: np.ndarray, level: int | np.ndarray, bits: int) -> Iterator[np.ndarray]:
-        a = mix(h + np.uint64(0xD6E8FEB86659FD93) * np.asarray(level, np.uint64))
-        b = (a >> np.uint64(32)) | np.uint64(1)
-        for i in range(PROBES):
-            yield ((a + np.uint64(i) * b + np.uint64(i * i * i)) % np.uint64(bits)).astype(np.int64)
+    def seeds(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        a = mix(h + np.uint64(0xD6E8FEB86659FD93 * level & (1 << 64) - 1))
+        return a, (a << np.uint64(32)) | (a >> np.uint64(32)) | np.uint64(1)
+
+    @staticmethod
+    def place(a: np.ndarray, b: np.ndarray, i: int, bits: int) -> np.ndarray:
+        """The i-th place, below bits (less than 2**32)."""
+        return ((((a + np.uint64(i) * b) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram."""
         out, open_ = np.zeros(len(h), np.int64), np.arange(len(h))
-        if not len(self.words):
-            return out
         region = self.region(h, len(self.words))
         for level in range(1, len(COUNT_OF)):
-            inside = np.ones(len(open_), bool)
-            for at in self.places(h, level, self.bits):
-                inside &= self.words[region, at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
-            h, region, open_ = h[inside], region[inside], open_[inside]
-            out[open_] = level
+            a, b = self.seeds(h, level)
+            for i in range(PROBES):
+                at = self.place(a, b, i, self.bits)
+                inside = self.words[region, at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+                if not inside.all():  # what is absent needs no further probes
+                    h, region, open_, a, b = h[inside], region[inside], open_[inside], a[inside], b[inside]
             if not len(open_):
                 break
+            out[open_] = level
         return out
 
 
@@ -206,13 +209,14 @@ def build_filter(counts: DataFrame, entries: int) -> Filter:
         h, level = group.column("h").to_numpy().view(np.uint64), group.column("level").to_numpy()
         on = np.zeros(bits, np.uint8)
         for j in range(1, int(level.max()) + 1):
-            for at in Filter.places(h[level >= j], j, bits):
-                on[at] = 1
+            a, b = Filter.seeds(h[level >= j], j)
+            for i in range(PROBES):
+                on[Filter.place(a, b, i, bits)] = 1
         return pa.table({"region": group.column("region").slice(0, 1), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
 
-    rows = counts.select("kind", "h", "c").mapInArrow(numbered, "region int, h long, level int").groupBy("region").applyInArrow(fill, "region int, bits binary").collect()
+    rows = counts.select("kind", "h", "c").mapInArrow(numbered, "region int, h long, level int").groupBy("region").applyInArrow(fill, "region int, bits binary")
     words = np.zeros((regions, bits // 8), np.uint8)  # MAX_BITS at most
-    for r in rows:
+    for r in rows.toLocalIterator():  # a partition at a time
         words[r.region] = np.frombuffer(r.bits, np.uint8)
     return Filter(words, bits)
 
@@ -246,10 +250,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
         seen += of_level.get(least, 0)
     hot_from = int(STARTS[least - 1]) if least <= len(STARTS) else 1 << 62
     words = counts.where(F.col("kind") == WORD)
-    hot = words.where(F.col("c") >= hot_from).select("h", "c").toPandas()  # HOT_WORDS rows at most
-    hot_h = hot.h.to_numpy(np.int64).view(np.uint64)
+    hot = words.where(F.col("c") >= hot_from).select("h", "c").toArrow()  # HOT_WORDS rows at most
+    hot_h, hot_c = hot["h"].to_numpy().view(np.uint64), hot["c"].to_numpy()
     order = np.argsort(hot_h)
-    model = spark.sparkContext.broadcast((made.words, made.bits, hot_h[order], hot.c.to_numpy(np.int64)[order]))
+    model = spark.sparkContext.broadcast((made.words, made.bits, hot_h[order], hot_c[order]))
+    del made, hot, hot_h, hot_c, order
     norm = math.log10(n_train + v + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +272,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 p1 = (c1[now] + 1) / (n_train + v + 1)
                 pair = np.zeros(len(h))
                 known = (c1[before] >= PAIR_LEAST) & (c1[now] >= PAIR_LEAST)
-                hashes = pair_hash(unique[before[known]], h[known])
-                some, back = np.unique(hashes, return_inverse=True)
-                pair[known] = COUNT_OF[lookup.levels(some)][back]
+                pair[known] = COUNT_OF[lookup.levels(pair_hash(unique[before[known]], h[known]))]
                 pair = np.minimum(pair, np.minimum(c1[before], c1[now]))
                 p = np.log10((pair + MU * p1) / (c1[before] + MU))
                 at = np.minimum(np.searchsorted(hot_h, unique), max(0, len(hot_h) - 1))
