@@ -197,14 +197,14 @@ def band_pairs(spark, d):
     return similarity.band_pairs(table(spark, d, "embeddings").withColumn("n", F.col("vec_id") + 1), "vec_id", "n")
 
 
-@query("""WITH q AS (SELECT range AS i, lower('azure part')[range:range + 2] AS g FROM range(1, 9)), qc AS (SELECT g, count(*) AS c FROM q GROUP BY g),
+@query("""WITH q AS (SELECT range AS i, lower('red widgets')[range:range + 2] AS g FROM range(1, 10)), qc AS (SELECT g, count(*) AS c FROM q GROUP BY g),
   n AS (SELECT p_partkey, lower(p_name) AS nm, list_filter(string_split(lower(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_'), lambda t: t <> '') AS tk FROM part),
   g AS (SELECT p_partkey, nm[i:i + 2] AS g, count(*) AS c FROM n, unnest(range(1, length(nm) - 1)) t(i) GROUP BY ALL),
   o AS (SELECT p_partkey, sum(least(g.c, qc.c)) AS s FROM g JOIN qc USING (g) GROUP BY 1)
-  SELECT p_partkey, round(greatest(CASE WHEN nm = 'azure part' THEN 1.0 ELSE 0 END, CASE WHEN coalesce(s, 0) / sqrt(greatest(1, length(nm) - 2) * 8.0) >= 0.4 THEN s / sqrt((length(nm) - 2) * 8.0) ELSE 0 END,
-    CASE WHEN list_has_any(tk, ['azure', 'part']) THEN 0.5 ELSE 0 END), 6) AS score FROM n LEFT JOIN o USING (p_partkey) WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 5""")
+  SELECT p_partkey, round(greatest(CASE WHEN nm = 'red widgets' THEN 1.0 ELSE 0 END, CASE WHEN coalesce(s, 0) / sqrt(greatest(1, length(nm) - 2) * 9.0) >= 0.4 THEN s / sqrt((length(nm) - 2) * 9.0) ELSE 0 END,
+    CASE WHEN list_has_any(tk, ['red', 'widgets']) THEN 0.5 ELSE 0 END), 6) AS score FROM n LEFT JOIN o USING (p_partkey) WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 5""")
 def semantic_search(spark, d):
-    return similarity.search(table(spark, d, "part"), "azure part", "p_partkey", "p_name").select("p_partkey", F.round("score", 6).alias("score"))
+    return similarity.search(table(spark, d, "part"), "red widgets", "p_partkey", "p_name").select("p_partkey", F.round("score", 6).alias("score"))
 
 
 @query("SELECT sha1(text) AS fingerprint, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")

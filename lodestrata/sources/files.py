@@ -25,7 +25,7 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, skip_t
         out = out.where(~T.ignored(F.col("path"), ignore))
     if skip_tests:
         out = out.where(~F.col("path").rlike(r"(^|/)(tests?|__tests__)/|(^|/)test_[^/]*$|_test\.[^/]*$"))
-    return out.select("path", T.file_class(F.col("path")).alias("class"), "size", "modified", T.content_fingerprint(F.col("content"), F.col("size")).alias("fingerprint"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return out.select("path", T.file_class(F.col("path")).alias("class"), "size", "modified", T.content_fingerprint(F.col("content"), F.col("size")).alias("fingerprint"), F.decode("content", "UTF-8").alias("text"))
 
 
 def lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
