@@ -64,9 +64,17 @@ def identifier_tokens(name: Column) -> Column:
 
 
 def ngrams(text: Column, n: int = 3) -> Column:
-    """All runs of n characters of the lower-cased text, in order."""
-    low = F.lower(text)
-    return F.when(F.length(low) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substr(low, i, F.lit(n))))
+    """All runs of n characters of the lower-cased text, in order. The characters are taken
+    apart once and zipped with themselves, which is linear in the text's length."""
+    chars = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
+
+    def runs(c: Column) -> Column:
+        out = c
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(c, k + 1, 1 << 30), lambda x, y: F.concat(x, y))
+        return F.filter(out, lambda x: x.isNotNull())
+
+    return F.get(F.transform(F.array(chars), runs), F.lit(0))
 
 
 def gram_hashes(text: Column, limit: int | None = 300) -> Column:
