@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 from array import array
 
 import regex
@@ -55,7 +56,7 @@ class ChunkedEncoder:
     space, so a chunk has the white space before it; else white space is dropped.
     encode_chunks: a list of chunks to a list of their ids."""
 
-    def __init__(self, encode_chunks, spaced: bool, most: int = 600_000):
+    def __init__(self, encode_chunks, spaced: bool, most: int = 400_000):
         self.spaced = spaced
         self.plain = TwoGenerationCache(encode_chunks, most)
         self.after_space = TwoGenerationCache(lambda words: encode_chunks([" " + w for w in words]), most)
@@ -127,7 +128,7 @@ def library_encoder(path: str, ranked: bool = False) -> ChunkedEncoder | WholeTe
     spaced = spec["normalizer"] is None
     find = regex.compile(BYTE_PATTERN if spaced else WORD_PATTERN).findall
     whole = lambda chunk: _le(tok.encode(chunk, add_special_tokens=False).ids)
-    has_special = lambda chunk: any(s in chunk for s in special)
+    has_special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
     if ranked and spaced:
         import tiktoken
 
@@ -139,10 +140,16 @@ def library_encoder(path: str, ranked: bool = False) -> ChunkedEncoder | WholeTe
             encode = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             return ChunkedEncoder(lambda new: [whole(c) if has_special(c) else _le(encode(c)) for c in new], spaced)
     tokenize, lower = tok.model.tokenize, tok.normalizer.normalize_str if tok.normalizer else None
-    pieces = TwoGenerationCache(lambda new: [_le([t.id for t in tokenize("".join([chars[b] for b in p.encode("utf-8")]))]) for p in new], 500_000)
+    # bytes as Latin-1 characters, and those as the characters that stand for them
+    as_chars = {b: c for b, c in enumerate(chars) if chr(b) != c}
+    shown = lambda p: p if p.isascii() and p.isalpha() else p.encode("utf-8").decode("latin-1").translate(as_chars)
+    pieces = TwoGenerationCache(lambda new: [_le([t.id for t in tokenize(shown(p))]) for p in new], 400_000)
+
+    # up to there, letters are lower-cased one by one and none combines with its neighbour
+    simple = lambda c: c.isascii() or max(c) < "\u0180" and "\u0130" not in c and "\xa0" not in c and "\x85" not in c
 
     def encode_chunks(new: list[str]) -> list[bytes]:
-        split = [None if has_special(c) else pre_tokens(c if spaced else c.lower() if c.isascii() else lower(c).strip(" "), find) for c in new]
+        split = [None if has_special(c) else pre_tokens(c if spaced else c.lower() if not c or simple(c) else lower(c).strip(" "), find) for c in new]
         pieces.fetch(set().union(*[x for x in split if x]))
         return [whole(c) if x is None else b"".join([pieces[p] for p in x]) for c, x in zip(new, split, strict=True)]
 
