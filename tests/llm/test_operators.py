@@ -273,6 +273,20 @@ def test_rare_words_join_when_few_are_hot(docs, monkeypatch):
     assert sorted(repr((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6))) for r in lm.score_documents(docs).collect()) == want
 
 
+def test_filter_in_regions_scores_alike(docs, monkeypatch):
+    rows = lambda: sorted(repr((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))) for r in lm.score_documents(docs).collect())
+    want = rows()
+    monkeypatch.setattr(lm, "BROADCAST_BITS", 0)
+    monkeypatch.setattr(lm, "BLOCK_ROWS", 3)
+    assert rows() == want
+
+
+def test_filter_grows_with_the_corpus():
+    for entries in (10**6, 10**8, 10**10):
+        regions, bits = lm.filter_shape(entries)
+        assert regions * bits > 0.99 * lm.BITS_PER_ENTRY * entries and bits < 1 << 32
+
+
 def test_filter_levels(spark):
     rng = np.random.default_rng(2)
     h = np.unique(rng.integers(-(1 << 62), 1 << 62, 4000))
