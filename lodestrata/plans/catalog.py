@@ -192,6 +192,16 @@ def near_duplicates(spark, d):
     return similarity.similar_sets(sets, "doc_id", "grams", 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+WHOLE_GRAMS = """g AS (SELECT doc_id, list_distinct(list_transform(list_filter(list_transform(range(1, greatest(1, length(text) - 1)), lambda i: lower(text)[i:i + 2]), lambda x: regexp_matches(x, '[A-Za-z0-9一-鿿]')), lambda x: substr(sha1(x), 1, 6))) AS g FROM documents)"""
+
+
+@query(f"""WITH {WHOLE_GRAMS}, p AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g), j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s, any_value(a.n) AS na, any_value(b.n) AS nb FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
+  SELECT a, b, round(s / (na + nb - s), 6) AS similarity FROM j WHERE s / (na + nb - s) >= 0.8""")
+def near_duplicates_whole(spark, d):
+    sets = table(spark, d, "documents").select("doc_id", T.gram_hashes(F.col("text"), None).alias("grams"))
+    return similarity.similar_sets(sets, "doc_id", "grams", 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query("""SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE abs((x.vec_id + 1) // 64 - (y.vec_id + 1) // 64) <= 1 AND greatest(x.vec_id + 1, y.vec_id + 1) <= 1.3 * least(x.vec_id + 1, y.vec_id + 1)""")
 def band_pairs(spark, d):
     return similarity.band_pairs(table(spark, d, "embeddings").withColumn("n", F.col("vec_id") + 1), "vec_id", "n")

@@ -147,3 +147,17 @@ def test_repeated_blocks(spark):
     rows = [("f", i + 1, c) for i, c in enumerate(["a", "b", "x", " a", "b ", "y"])]
     got = similarity.repeated_blocks(table(spark, "file string, line int, code string", *rows), "file", 2).collect()
     assert [(r.first, r.again) for r in got] == [(1, 4)]
+
+
+def test_near_duplicates_compares_whole_texts(spark, tmp_path):
+    import random
+    import string
+
+    from lodestrata.plans import catalog
+
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choices(string.ascii_lowercase, k=n))
+    lead, tail = text(320), text(4000)
+    rows = [(1, lead + text(4000)), (2, lead + text(4000)), (3, text(100) + tail), (4, text(100) + tail)]
+    table(spark, "doc_id long, text string", *rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.a, r.b) for r in catalog.QUERIES["near_duplicates_whole"](spark, str(tmp_path)).collect()] == [(3, 4)]
