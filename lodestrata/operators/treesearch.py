@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, ngrams
-from .graph import subtree
+from .graph import _cut, subtree
 
 #: Weights of a node's scores.
 WEIGHTS = {"evidence": 0.35, "relevance": 0.30, "novelty": 0.20, "verifiable": 0.15}
@@ -49,29 +49,61 @@ def overlap(newer: DataFrame, older: DataFrame, least: float = 0.4, by: str | No
     return a.select(*on, "ida").join(like.withColumn("like", F.lit(1)), [*on, "ida"], "left").groupBy(*on).agg(F.count("*").alias("nodes"), F.count("like").alias("alike")).withColumn("overlap", F.col("alike") / F.col("nodes"))
 
 
-def _similar(a: str, b: str) -> float:
-    grams = lambda s, n: [s[i : i + n] for i in range(len(s) - n + 1)]
-    a, b = " ".join(a.lower().split()), " ".join(b.lower().split())
-    x, y = set(grams(a, 3)), set(grams(b, 3))
-    p, q = Counter(grams(a, 2)), Counter(grams(b, 2))
-    both = sum((p & q).values()) / (sum(p.values()) * sum(q.values())) ** 0.5 if p and q else 0.0
+def _profile(s: str) -> tuple[set, Counter, int]:
+    """A text's 3-grams, its 2-grams with their counts, and how many 2-grams it has."""
+    grams = lambda n: [s[i : i + n] for i in range(len(s) - n + 1)]
+    s = " ".join(s.lower().split())
+    return set(grams(3)), Counter(grams(2)), max(0, len(s) - 1)
+
+
+def _similar(a: tuple[set, Counter, int], b: tuple[set, Counter, int]) -> float:
+    (x, p, m), (y, q, n) = a, b
+    both = sum(min(c, q[g]) for g, c in p.items() if g in q) / (m * n) ** 0.5 if m and n else 0.0
     return max(len(x & y) / len(x | y) if x | y else 0.0, both)
 
 
-def signals(nodes: DataFrame, least: float = 0.4, weak: float = 0.3) -> DataFrame:
+def signals(nodes: DataFrame, least: float = 0.4, weak: float = 0.3, head: int = 64) -> DataFrame:
     """depth, id, cluster, weak: leader clusters of each depth in order of seq (a text joins the
     first cluster whose first text is similar), weak where a cluster has at most ``weak`` of them.
-    A depth's nodes are those of one beam, so few; they are handled in one group."""
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, leaders, found = pdf.sort_values("seq"), [], []
-        for text in pdf["text"]:
-            k = next((i for i, t in enumerate(leaders) if _similar(t, text) > least), None)
+    A round finds the leaders among the first ``head`` open nodes of each depth on the driver, and
+    all open nodes look for theirs among these in parallel; what stays open comes after them in
+    order, so the clusters are those of one scan. Later rounds take more, up to 1024."""
+    open_, known, out = _cut(nodes.select("depth", "id", "seq", "text")), Counter(), None
+    while True:
+        order = Window.partitionBy("depth").orderBy("seq", "id")
+        first = open_.withColumn("place", F.row_number().over(order)).where(F.col("place") <= head).orderBy("depth", "place").collect()
+        if not first:
+            break
+        leaders, own = {}, {}
+        for r in first:
+            mine, profile = leaders.setdefault(r.depth, []), _profile(r.text)
+            k = next((k for k, p in mine if _similar(p, profile) > least), None)
             if k is None:
-                k = len(leaders)
-                leaders.append(text)
-            found.append(k)
-        size = Counter(found)
-        return pd.DataFrame({"depth": pdf["depth"], "id": pdf["id"], "cluster": found, "weak": [size[k] / len(found) <= weak for k in found]})
-
-    return nodes.groupBy("depth").applyInPandas(cluster, "depth long, id long, cluster long, weak boolean")
+                k = known[r.depth]
+                known[r.depth] += 1
+                mine.append((k, profile))
+            own[r.depth, r.id] = k
+        round_ = nodes.sparkSession.sparkContext.broadcast((leaders, own))
+
+        def look(batches, round_=round_):
+            leaders, own = round_.value
+            for pdf in batches:
+                found = []
+                for depth, id_, text in zip(pdf["depth"], pdf["id"], pdf["text"]):
+                    k = own.get((depth, id_))
+                    if k is None:
+                        profile = _profile(text)
+                        k = next((k for k, p in leaders.get(depth, []) if _similar(p, profile) > least), None)
+                    found.append(k)
+                yield pdf.assign(cluster=pd.array(found, "Int64"))
+
+        done = _cut(open_.mapInPandas(look, "depth long, id long, seq long, text string, cluster long"))
+        closed = done.where("cluster is not null").select("depth", "id", "cluster")
+        out = closed if out is None else out.unionAll(closed)
+        open_ = done.where("cluster is null").drop("cluster")
+        head = min(2 * head, 1024)
+    if out is None:
+        return nodes.select("depth", "id", F.lit(0).cast("long").alias("cluster"), F.lit(False).alias("weak"))
+    sizes = out.groupBy("depth", "cluster").agg(F.count("*").alias("n"))
+    total = sizes.groupBy("depth").agg(F.sum("n").alias("total"))
+    return out.join(F.broadcast(total), "depth").join(sizes, ["depth", "cluster"]).select("depth", "id", "cluster", (F.col("n") / F.col("total") <= weak).alias("weak"))

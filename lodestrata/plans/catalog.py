@@ -383,5 +383,5 @@ def code_facts(spark, d):
 
 @query()
 def weak_signals(spark, d):
-    t = table(spark, d, "conversations").where("conv_id < 40")
+    t = table(spark, d, "conversations")
     return treesearch.signals(t.select(F.col("turn").alias("depth"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("seq"), "text"))

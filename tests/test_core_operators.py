@@ -161,3 +161,35 @@ def test_near_duplicates_compares_whole_texts(spark, tmp_path):
     rows = [(1, lead + text(4000)), (2, lead + text(4000)), (3, text(100) + tail), (4, text(100) + tail)]
     table(spark, "doc_id long, text string", *rows).write.parquet(str(tmp_path / "documents.parquet"))
     assert [(r.a, r.b) for r in catalog.QUERIES["near_duplicates_whole"](spark, str(tmp_path)).collect()] == [(3, 4)]
+
+
+def test_weak_signals_is_one_leader_scan_over_all(spark, tmp_path):
+    import collections
+    import random
+
+    from lodestrata.plans import catalog
+
+    rnd = random.Random(9)
+    words = ["alpha", "bravo", "kilo", "zulu", "echo", "oxen", "fjord", "quiz", "myth", "jump"]
+    rows = [(c, t, " ".join(rnd.choices(words, k=2))) for c in range(90) for t in range(2)]
+    table(spark, "conv_id long, turn long, text string", *rows).write.parquet(str(tmp_path / "conversations.parquet"))
+    grams = lambda s, n: [s[i : i + n] for i in range(len(s) - n + 1)]
+
+    def alike(a, b):
+        x, y, p, q = {*grams(a, 3)}, {*grams(b, 3)}, collections.Counter(grams(a, 2)), collections.Counter(grams(b, 2))
+        return max(len(x & y) / len(x | y), sum((p & q).values()) / (sum(p.values()) * sum(q.values())) ** 0.5) > 0.4
+
+    want = set()
+    for depth in range(2):
+        leaders, found = [], []
+        for c, t, text in rows:
+            if t == depth:
+                k = next((i for i, x in enumerate(leaders) if alike(x, text)), len(leaders))
+                leaders += [text] if k == len(leaders) else []
+                found.append((c * 1000 + t, k))
+        n = collections.Counter(k for _, k in found)
+        want |= {(depth, i, k, n[k] / len(found) <= 0.3) for i, k in found}
+    got = {(r.depth, r.id, r.cluster, r.weak) for r in catalog.QUERIES["weak_signals"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == 180
+    t = spark.read.parquet(str(tmp_path / "conversations.parquet")).selectExpr("turn depth", "conv_id * 1000 + turn id", "conv_id seq", "text")
+    assert {tuple(r) for r in treesearch.signals(t, head=3).collect()} == want  # many rounds
