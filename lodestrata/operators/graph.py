@@ -54,6 +54,47 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     return known
 
 
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """node, label: the least node from which edges reach it, itself included."""
+    label = _cut(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("label", F.col("node")))
+    frontier = label
+    while not frontier.isEmpty():
+        found = frontier.join(edges, frontier["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min("label").alias("new"))
+        frontier = _cut(found.join(label, "node").where("new < label").select("node", F.col("new").alias("label")))
+        label = _cut(label.unionByName(frontier).groupBy("node").agg(F.min("label").alias("label")))
+    return label
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component, size of all nodes on a cycle of two nodes or more, however long: strongly
+    connected components by their least node. A round labels nodes forward with the least node that
+    reaches them; what reaches a label's own node backward within the label is its component."""
+    e = _cut(edges.select("source", "target").where("source != target").distinct())
+    out = e.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
+    while True:
+        # a node without an edge in or out is on no cycle
+        n = -1
+        while n != (n := e.count()):
+            ends = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+            e = _cut(ends.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+        if not n:
+            break
+        label = _least_reaching(e)
+        inside = e.join(label.toDF("source", "label"), "source").join(label.toDF("target", "other"), "target").where("label = other").select("source", "target", "label")
+        inside = _cut(inside)
+        back = frontier = _cut(label.where("node = label"))
+        while not frontier.isEmpty():
+            found = frontier.withColumnRenamed("node", "target").join(inside, ["target", "label"]).select(F.col("source").alias("node"), "label").distinct()
+            frontier = _cut(found.join(back.select("node"), "node", "left_anti"))
+            back = _cut(back.unionByName(frontier))
+        sizes = back.groupBy("label").agg(F.count("*").alias("size")).where("size > 1")
+        out = _cut(out.unionAll(back.join(sizes, "label").select("node", F.col("label").alias("component"))))
+        gone = back.select("node")
+        e = inside.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")
+        e = _cut(e.select("source", "target"))
+    return out.join(out.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
+
+
 def bridges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between two of nodes (node)."""
     n = nodes.select("node")

@@ -110,6 +110,13 @@ def cycles_bounded(spark, d):
     return graph.cycles(steps(spark, d), 3)
 
 
+@query(f"""WITH RECURSIVE {STEPS}, r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON r.target = e.source),
+  m AS (SELECT x.source AS node, min(x.target) AS component FROM r x JOIN r y ON x.source = y.target AND x.target = y.source GROUP BY x.source HAVING count(*) > 1)
+  SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM m""")
+def scc_members(spark, d):
+    return graph.components(steps(spark, d))
+
+
 @query(f"WITH {LINKS}, hub AS (SELECT node FROM (SELECT source AS node, 0 AS i FROM e UNION ALL SELECT target, 1 FROM e) GROUP BY node ORDER BY sum(i) DESC, count(*) - sum(i) DESC, node LIMIT 10) SELECT DISTINCT source, target FROM e WHERE source IN (SELECT node FROM hub) AND target IN (SELECT node FROM hub) AND source <> target")
 def bridges(spark, d):
     e = link_table(spark, d)

@@ -193,3 +193,20 @@ def test_weak_signals_is_one_leader_scan_over_all(spark, tmp_path):
     assert got == want and len(want) == 180
     t = spark.read.parquet(str(tmp_path / "conversations.parquet")).selectExpr("turn depth", "conv_id * 1000 + turn id", "conv_id seq", "text")
     assert {tuple(r) for r in treesearch.signals(t, head=3).collect()} == want  # many rounds
+
+
+def test_components_hold_cycles_of_any_length(spark):
+    import random
+
+    rnd = random.Random(4)
+    ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
+    e = {*ring, *((f"n{rnd.randrange(24)}", f"n{rnd.randrange(24)}") for _ in range(30)), ("r3", "n1"), ("a", "b"), ("b", "c"), ("z", "z")}
+    nodes = sorted({x for p in e for x in p})
+    reach = {x: {t for s, t in e if s == x} for x in nodes}
+    for k in nodes:
+        for x in nodes:
+            if k in reach[x]:
+                reach[x] |= reach[k]
+    want = {(x, min(m), len(m)) for x in nodes if len(m := {x, *(y for y in reach[x] if x in reach[y])}) > 1}
+    assert {tuple(r) for r in graph.components(table(spark, "source string, target string", *sorted(e))).collect()} == want
+    assert ("r5", "r0", 7) in want
