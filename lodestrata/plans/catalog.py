@@ -214,6 +214,11 @@ def band_pairs(spark, d):
     return similarity.band_pairs(table(spark, d, "embeddings").withColumn("n", F.col("vec_id") + 1), "vec_id", "n")
 
 
+@query("""SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE greatest(x.vec_id + 1, y.vec_id + 1) <= 1.3 * least(x.vec_id + 1, y.vec_id + 1)""")
+def ratio_pairs(spark, d):
+    return similarity.ratio_pairs(table(spark, d, "embeddings").withColumn("n", F.col("vec_id") + 1), "vec_id", "n")
+
+
 @query("""WITH q AS (SELECT range AS i, lower('red widgets')[range:range + 2] AS g FROM range(1, 10)), qc AS (SELECT g, count(*) AS c FROM q GROUP BY g),
   n AS (SELECT p_partkey, lower(p_name) AS nm, list_filter(string_split(lower(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_'), lambda t: t <> '') AS tk FROM part),
   g AS (SELECT p_partkey, nm[i:i + 2] AS g, count(*) AS c FROM n, unnest(range(1, length(nm) - 1)) t(i) GROUP BY ALL),

@@ -210,3 +210,12 @@ def test_components_hold_cycles_of_any_length(spark):
     want = {(x, min(m), len(m)) for x in nodes if len(m := {x, *(y for y in reach[x] if x in reach[y])}) > 1}
     assert {tuple(r) for r in graph.components(table(spark, "source string, target string", *sorted(e))).collect()} == want
     assert ("r5", "r0", 7) in want
+
+
+def test_ratio_pairs_at_every_size(spark):
+    import itertools
+
+    sizes = {i: n for i, n in enumerate([0, 0, 1, 1, 2, 10, 13, 14, 100, 130, 131, 1000, 1200, 1300, 1301, 10**6, 13 * 10**5])}
+    want = {(a, b) for a, b in itertools.combinations(sizes, 2) if max(sizes[a], sizes[b]) <= 1.3 * min(sizes[a], sizes[b])}
+    got = similarity.ratio_pairs(table(spark, "k int, n int", *sizes.items()), "k", "n").collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and (11, 12) in want
