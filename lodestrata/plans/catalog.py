@@ -189,6 +189,23 @@ def ochiai_pairs(spark, d):
     return similarity.ochiai(g, g, "p_brand").where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+NAMES = """k AS (SELECT p_partkey AS k, p_brand AS b, lower(p_name) AS name, min(p_partkey) OVER (PARTITION BY p_brand, lower(p_name)) AS first FROM part)"""
+
+
+@query(f"""WITH {NAMES}, g AS (SELECT k, b, name[i:i + 2] AS gram, count(*) AS c FROM k, unnest(range(1, length(name) - 1)) t(i) WHERE k = first GROUP BY ALL), s AS (SELECT k, sum(c) AS n FROM g GROUP BY k)
+  SELECT x.k AS a, y.k AS b, round(sum(least(x.c, y.c)) / sqrt(any_value(p.n) * any_value(q.n)), 6) AS similarity FROM g x JOIN g y ON x.b = y.b AND x.gram = y.gram AND x.k < y.k JOIN s p ON p.k = x.k JOIN s q ON q.k = y.k GROUP BY ALL
+  UNION ALL SELECT first, k, 1.0 FROM k WHERE k <> first AND length(name) >= 3""")
+def ochiai_pairs_all(spark, d):
+    """All parts: the pairs of different names of a brand by the least part key of each, and each
+    part of the same name with that key; a part's other pairs are those of its name."""
+    name = table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_brand", F.lower("p_name").alias("name"))
+    first = name.groupBy("p_brand", "name").agg(F.min("key").alias("key"))
+    g = first.select("key", "p_brand", F.explode(T.ngrams(F.col("name"))).alias("gram"))
+    pairs = similarity.ochiai(g, g, "p_brand").where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    copies = name.join(first.withColumnRenamed("key", "a"), ["p_brand", "name"]).where((F.col("key") != F.col("a")) & (F.length("name") >= 3))
+    return pairs.unionAll(copies.select("a", F.col("key").alias("b"), F.lit(1.0).alias("similarity")))
+
+
 GRAMS = """g AS (SELECT doc_id, list_distinct(list_transform(list_filter(list_transform(range(1, greatest(1, length(text) - 1)), lambda i: lower(text)[i:i + 2]), lambda x: regexp_matches(x, '[A-Za-z0-9一-鿿]'))[1:300], lambda x: substr(sha1(x), 1, 6))) AS g FROM documents)"""
 
 
@@ -352,6 +369,14 @@ def taint_reach(spark, d):
     return graph.propagate(key_edges(spark, d), seeds)
 
 
+@query(f"""WITH {KEYS}, r AS (SELECT source AS a, target AS b FROM e), s AS (SELECT 'o' || o_orderkey AS node, CASE WHEN o_orderstatus = 'F' THEN 3 ELSE 2 END AS rank FROM orders),
+  l1 AS (SELECT b AS node, rank FROM s JOIN r ON a = node), l2 AS (SELECT b AS node, rank FROM l1 JOIN r ON a = node), l3 AS (SELECT b AS node, rank FROM l2 JOIN r ON a = node)
+  SELECT node, max(rank) AS rank FROM (SELECT * FROM s UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) GROUP BY node""")
+def taint_reach_all(spark, d):
+    seeds = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(F.col("o_orderstatus") == "F", 3).otherwise(2).alias("rank"))
+    return graph.propagate(key_edges(spark, d), seeds)
+
+
 @query("""WITH s AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id - event_id % 4 END AS parent, event_type AS func, floor(value) AS seconds FROM events),
   k AS (SELECT parent AS id, sum(seconds) AS inner_ FROM s WHERE parent IS NOT NULL GROUP BY 1)
   SELECT func, count(*) AS calls, sum(seconds) AS total, sum(seconds - coalesce(inner_, 0)) AS self, round(avg(seconds), 6) AS avg, min(seconds) AS min, max(seconds) AS max FROM s LEFT JOIN k USING (id) GROUP BY func""")

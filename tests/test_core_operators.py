@@ -219,3 +219,17 @@ def test_ratio_pairs_at_every_size(spark):
     want = {(a, b) for a, b in itertools.combinations(sizes, 2) if max(sizes[a], sizes[b]) <= 1.3 * min(sizes[a], sizes[b])}
     got = similarity.ratio_pairs(table(spark, "k int, n int", *sizes.items()), "k", "n").collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and (11, 12) in want
+
+
+def test_parts_and_seeds_of_all_rows(spark, tmp_path):
+    from lodestrata.plans import catalog
+
+    put = lambda name, schema, *rows: table(spark, schema, *rows).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("part", "p_partkey int, p_name string, p_brand string, p_size int", (1, "red bolt", "x", 7), (2, "red nut", "x", 9), (3, "Red Bolt", "x", 2), (4, "red bolt", "y", 1))
+    got = {(r.a, r.b): r.similarity for r in catalog.QUERIES["ochiai_pairs_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): round(2 / 30**0.5, 6), (1, 3): 1.0}
+    put("customer", "c_custkey int, c_nationkey int", (1, 1))
+    put("orders", "o_orderkey int, o_custkey int, o_orderstatus string", (5, 1, "F"))
+    put("nation", "n_nationkey int, n_regionkey int", (1, 1))
+    got = {tuple(r) for r in catalog.QUERIES["taint_reach_all"](spark, str(tmp_path)).collect()}
+    assert got == {("o5", 3), ("c1", 3), ("n1", 3), ("r1", 3)}
