@@ -25,6 +25,8 @@ from .common import TwoGenerationCache, documents
 from .tokens import BYTE_PATTERN, ChunkedEncoder, byte_chars, pre_tokens
 
 NONE = 1 << 62
+#: Bytes of a cache of ids; it goes with its task.
+CACHE = 128 << 20
 
 
 class ByteLevelBPE:
@@ -53,8 +55,8 @@ class ByteLevelBPE:
         self.values = np.array([self.merges[k] for k in self.keys.tolist()], np.int64)
         self._find = regex.compile(BYTE_PATTERN).findall
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self._pieces = TwoGenerationCache(self._merged, 500_000)
-        self.encoder = ChunkedEncoder(self._chunks, spaced=True)
+        self._pieces = TwoGenerationCache(self._merged, CACHE)
+        self.encoder = ChunkedEncoder(self._chunks, spaced=True, most=CACHE)
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -193,6 +195,10 @@ class ByteLevelBPE:
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
+    def release(self) -> None:
+        self._pieces.release()
+        self.encoder.release()
+
     def decode(self, ids) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
@@ -213,6 +219,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
+        bpe.release()
 
     return documents(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -244,5 +251,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     of_ids.append(sha(b",".join(map(decimal.__getitem__, ids))))
                     of_text.append(sha(bpe.decode(ids).encode("utf-8")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.release()
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

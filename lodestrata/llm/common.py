@@ -90,29 +90,45 @@ def partitions(spark: SparkSession) -> int:
 
 
 class TwoGenerationCache(dict):
-    """A dict of bounded size: when it is full, what wasn't used since the last time goes.
+    """A dict bounded by the memory of its entries: when half of ``most`` bytes are used, what
+    wasn't asked for since the last time goes.
 
-    ``fetch(keys)`` makes all keys present; ``make(list of new keys)`` gives their values.
+    ``fetch(keys)`` makes all keys present; ``make(list of new keys)`` gives their values. Only
+    the keys of one call are held beyond the bound.
     """
 
-    def __init__(self, make, most: int = 400_000):
+    #: Bytes of an entry beside its key and value: slots of the dict, headers of two objects.
+    ENTRY = 200
+
+    def __init__(self, make, most: int = 64 << 20):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.size = make, most, {}, 0
+
+    def _weight(self, keys, values) -> int:
+        return self.ENTRY * len(keys) + sum(map(len, keys)) + sum(len(v) for v in values if type(v) is bytes)
 
     def fetch(self, keys: set) -> None:
         new = [k for k in keys if k not in self]
-        if len(self) + len(new) > self.most:
+        if self.size > self.most // 2:
             self.old = dict(self)
             self.clear()
-            new = keys
+            self.size, new = 0, keys
         if self.old:
-            old, missing = self.old, []
+            old, missing, found = self.old, [], {}
             for k in new:
                 if (v := old.get(k)) is None:
                     missing.append(k)
                 else:
-                    self[k] = v
+                    found[k] = v
+            self.update(found)
+            self.size += self._weight(found, found.values())
             new = missing
         if new:
             new = list(new)
-            self.update(zip(new, self.make(new), strict=True))
+            values = self.make(new)
+            self.update(zip(new, values, strict=True))
+            self.size += self._weight(new, values)
+
+    def release(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0

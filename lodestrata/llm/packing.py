@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW) ->
     doc_tokens, ids, with task and number: the how-manieth of its length in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = library_encoder(path, ranked=True), TaskContext.get().partitionId()
+        encoder, task = library_encoder(path), TaskContext.get().partitionId()
         end, seen = int(end_id).to_bytes(4, "little"), [0] * (window + 1)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -68,6 +68,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW) ->
                     [b.column(0).take(pa.array(row, pa.int64())), long(start), long(length), long(crc), long(total), pa.ListArray.from_arrays(ends, flat), pa.array([task] * len(row), pa.int32()), long(number)],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "task", "number"],
                 )
+        encoder.release()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>, task int, number long"
     return documents(docs).mapInArrow(run, schema)

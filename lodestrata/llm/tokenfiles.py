@@ -3,9 +3,10 @@
 A row is a document: doc_id, first (ids of the file before it), n_tokens, ids. ORC encodes the
 integers by run lengths and bit widths and keeps, for each stripe and each group of rows, the
 least and greatest doc_id and a Bloom filter of them; readers take stripes in parallel and skip
-those that can't hold what is asked for. Documents are dealt to files by ranges of doc_id, so
-file order is document order and a document's place in the corpus is the number of ids in
-earlier files plus ``first``.
+those that can't hold what is asked for. Documents are dealt to files by ranges of doc_id, as
+many as the size of their texts asks for, so file order is document order and a document's place
+in the corpus is the number of ids in earlier files plus ``first``. Many rows of one id share
+several files.
 
 Cases: null and empty texts are documents with the end id only; null ids come first; repeated
 rows are rows of their own, in any order among themselves; an empty table gives no rows.
@@ -33,6 +34,9 @@ OPTIONS = {
     "compression": "zstd",
 }
 
+#: Bytes of text that a file holds at most, on average.
+FILE_BYTES = 128 << 20
+
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, files: int | None = None) -> None:
     """Write every document's ids, with end_id behind them, to ORC files below path."""
@@ -48,17 +52,24 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, files
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first + ends[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)], ["doc_id", "first", "n_tokens", "ids"])
                 first += int(ends[-1])
+        encoder.release()
 
-    dealt = documents(docs).repartitionByRange(files or partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(run, SCHEMA).write.options(**OPTIONS).orc(path)
+    docs = documents(docs)
+    if not files:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(partitions(docs.sparkSession), -(-size // FILE_BYTES))
+    # rows of one id may be many: their place in the input deals them out, too
+    dealt = docs.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(files, "doc_id", "place").sortWithinPartitions("doc_id")
+    # a file a task: ``first`` counts from its task's start
+    dealt.select("doc_id", "text").mapInArrow(run, SCHEMA).write.options(**OPTIONS, maxRecordsPerFile=0).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids. A filter on doc_id
     reaches the files' statistics and Bloom filters."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    name = F.col("_metadata.file_name")
-    # a row for each file; its name begins with the number of its range
+    # a row for each file; its name has the number of its range
+    name = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
     totals = rows.groupBy(name.alias("file")).agg(F.max(F.col("first") + F.col("n_tokens")).alias("total"))
     begin = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("begin"))
     return rows.withColumn("file", name).join(F.broadcast(begin), "file").select("doc_id", (F.col("begin") + F.col("first")).alias("start"), "n_tokens", "ids")

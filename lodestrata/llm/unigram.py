@@ -37,6 +37,10 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())]
 
 
+#: Bytes of the cache of words, beside their values; it goes with its task.
+CACHE = 96 << 20
+
+
 class CountingViterbi:
     def __init__(self, pieces: list[tuple[str, float]]):
         self.automaton = ahocorasick.Automaton()
@@ -45,7 +49,7 @@ class CountingViterbi:
         self.automaton.make_automaton()
         self.single = {p for p, _ in pieces if len(p) == 1}
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
-        self.words = TwoGenerationCache(lambda new: [self.count(MARK + w) for w in new])
+        self.words = TwoGenerationCache(lambda new: [self.count(MARK + w) for w in new], CACHE)
 
     def count(self, word: str) -> tuple[int, float]:
         """(pieces, score) of the best path through a word."""
@@ -100,5 +104,6 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             for lo in range(0, b.num_rows, 256):
                 got += model.counts(b.column(1).slice(lo, 256).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "n_tokens", "score"])
+        model.words.release()
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, score double")
