@@ -1,22 +1,30 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of words and of pairs of neighbouring words in the training texts are quantised to levels
-that grow by about 1.3; an n-gram of level q is put into one Bloom filter q times, as (n-gram, 1)
+that grow by about 1.3; an n-gram of level q is put into a Bloom filter q times, as (n-gram, 1)
 to (n-gram, q). Asking for (n-gram, 1), (n-gram, 2), ... until one is absent gives the level back:
-never too low, and too high with a probability that falls with every level. The filter has
-BITS_PER_ENTRY bits for each level put in, whatever the corpus. Up to BROADCAST_BITS it is broadcast;
-beyond, its regions stay a table, and the n-grams of blocks of texts are sent to their regions, which
-send the levels back. A pair counts only where both of its words are known.
+never too low, and too high with a probability that falls with every level.
 
     P1(w)   = (c(w) + 1) / (N + V + 1)
     P(w|v)  = (c(v w) + MU * P1(w)) / (c(v) + MU)
 
-with c from the filter. Pairs seen once are kept (PAIR_LEAST): without
-them held-out texts of sf0.1 score -3.939 a token, with them -3.751. Exact counts stay in a table:
-the base score takes the frequent words, at most HOT_WORDS of them, from a broadcast array and the
-others by a join on the word's hash, 64 bits, which stands for the word throughout.
+with c from the filter; a pair counts only where both of its words are known. Quantised counts and
+false positives make the P(w|v) of a v sum to about 1 only (the README has measured sums). Pairs
+seen once are kept. MU has the best score of those tried on a fold of the training texts.
 
-N-grams are counted in each task, sent as packed arrays by ranges of their hash and added up there.
+The filter is cut into regions by the leading bits of an n-gram's 64-bit hash, each as large as
+its own n-grams ask for: BITS_PER_ENTRY bits for every level put in, whatever the corpus. A region
+also has the exact counts of its words, for the base score. Within a region a pair stands as the
+next 32 bits of its hash, so that another pair of the region stands for it with a probability of
+pairs / 2**32. A probe reads one 64-bit word of the filter.
+
+Regions of up to BROADCAST_BYTES together are broadcast. Beyond that they stay a table: texts are
+dealt to blocks, each block asks the regions for its distinct n-grams, and the answers come back to
+the blocks. Both ways give the same scores. Texts never meet by key, so no word, source or copy can
+crowd a task; a hot n-gram is asked for once a block.
+
+Words are maximal runs of bytes other than ASCII white space; a 64-bit hash stands for a word
+throughout.
 
 Cases: null and empty texts have one token, their end; a null doc_id counts as the empty text in
 the split; repeated rows are scored, and learned from, each; without training texts every score is
@@ -34,25 +42,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, TwoGenerationCache, documents, materialize, partitions
-
-MU = 2000.0
-PAIR_LEAST = 1
-BITS_PER_ENTRY, PROBES = 9, 6
-#: Of a filter that is broadcast.
-BROADCAST_BITS = 1 << 28
-#: Texts whose n-grams are asked for together.
-BLOCK_ROWS = 2048
-HOT_WORDS = 1 << 18
-REGION_ENTRIES = 1 << 20
+from .common import ASCII_SPACES, LOWER_AZ, documents, materialize
+
+MU = 500.0
+BITS_PER_ENTRY, PROBES = 12, 5
+#: Of all regions, for them to be broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Of texts: what a region is for (more where regions would be over 2**MOST_REGION_BITS), what a block has.
+REGION_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
+LEAST_REGION_BITS, MOST_REGION_BITS = 4, 18
 #: Of a task's n-grams, before they are counted and sent.
 TASK_TOKENS = 4_000_000
+#: Bytes of texts that are hashed at once.
+SLICE_BYTES, CHUNK_BYTES = 4 << 20, 1 << 18
+#: Longer words are hashed one by one: sums of powers of 2**10 bytes and more can be made to agree.
+LONG_WORD = 256
 SPLIT, HELD_OUT = 7, 2
-WORD, PAIR = 0, 1
 
 
 def level_starts() -> np.ndarray:
@@ -68,6 +76,10 @@ STARTS = level_starts()
 COUNT_OF = np.r_[0.0, (STARTS[:-1] + STARTS[1:] - 1) / 2]
 
 
+def level_of(c: np.ndarray) -> np.ndarray:
+    return np.searchsorted(STARTS, c, "right")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser of 64-bit hashes."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -79,322 +91,309 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * np.uint64(0x9E3779B97F4A7C15) + mix(w))
 
 
-def _hash(word: bytes) -> bytes:
-    return xxhash.xxh64_intdigest(word).to_bytes(8, "little")
+#: No word has this hash but by chance. It also stands before a text's first word.
+END = mix(np.array([0xE17D], np.uint64))
+_BASE = 0xD1342543DE82EF95
+_POWERS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(CHUNK_BYTES, _BASE, np.uint64)])
+_INVERSE = np.multiply.accumulate(np.r_[np.uint64(1), np.full(CHUNK_BYTES, pow(_BASE, -1, 1 << 64), np.uint64)])
+#: A number for each byte, the same for A-Z and a-z.
+_OF_BYTE = mix(np.frombuffer(LOWER_AZ, np.uint8).astype(np.uint64) + np.uint64(1))
+_SOLID = np.array([chr(b) not in ASCII_SPACES for b in range(256)])
+
+
+def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, A-Z as a-z: all of them, each text's END behind it, and
+    where texts end. A word's hash is that of its bytes' sum, weighted by powers of a base."""
+    texts = texts.cast(pa.large_string())
+    _, at, raw = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    n = len(data)
+    solid = np.zeros(n + 2, bool)
+    solid[1:-1] = _SOLID[data]
+    edge = np.zeros(n + 1, bool)  # before byte i a text begins
+    edge[at] = True
+    starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
+    ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
+    h = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        k = max(i + 1, int(np.searchsorted(ends, a + CHUNK_BYTES, "right")))
+        if ends[i] - a <= CHUNK_BYTES:
+            part = data[a : ends[k - 1]]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_OF_BYTE[part] * _POWERS[: len(part)], out=sums[1:])
+            s, e = starts[i:k] - a, ends[i:k] - a
+            h[i:k] = (sums[e] - sums[s]) * _INVERSE[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        i = k
+    h = mix(h)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes().translate(LOWER_AZ))
+    last = np.searchsorted(starts, at[1:]) + np.arange(1, len(at))
+    out = np.empty(len(h) + len(texts), np.uint64)
+    word = np.ones(len(out), bool)
+    word[last - 1] = False
+    out[word], out[last - 1] = h, END
+    return out, last
+
+
+def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:
+    """Runs of texts of SLICE_BYTES or a text more."""
+    for part in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        sizes = np.cumsum(np.array([0, *pc.binary_length(part).to_pylist()], np.int64))
+        lo = 0
+        while lo < len(part):
+            hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + SLICE_BYTES)))
+            yield part.slice(lo, hi - lo)
+            lo = hi
+
+
+def all_hashes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """hashes(), slice by slice."""
+    parts, ends, n = [], [], 0
+    for s in slices(texts):
+        h, e = hashes(s)
+        parts.append(h)
+        ends.append(e + n)
+        n += len(h)
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([np.zeros(0, np.int64), *ends])
 
 
-#: No word contains a space. It also stands before a text's first word.
-END = np.frombuffer(_hash(b" "), np.uint64)
+def previous(h: np.ndarray) -> np.ndarray:
+    """The word before each, END before a text's first: ends stand in h already."""
+    return np.concatenate([END, h[:-1]])
 
 
-class Words:
-    """Hashes of texts' words: all of them, each text's end behind it, and where texts end."""
+def pair_keys(h: np.ndarray, bits: int) -> np.ndarray:
+    """region << 32 | the 32 bits that stand for a pair there, of every word with the one before."""
+    return pair_hash(previous(h), h) >> np.uint64(32 - bits)
 
-    def __init__(self):
-        self.cache = TwoGenerationCache(lambda new: [_hash(w) for w in new], 600_000)
 
-    def hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [t.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split() for t in texts]
-        self.cache.fetch(set().union(*split))
-        get, end = self.cache.__getitem__, END.tobytes()
-        raw = [b"".join(map(get, words)) + end for words in split]
-        return np.frombuffer(b"".join(raw), np.uint64), np.cumsum([len(r) // 8 for r in raw])
+def by_region(keys: np.ndarray, shift: int, regions: int) -> np.ndarray:
+    """Where the regions begin and end in sorted keys."""
+    return np.r_[np.searchsorted(keys, np.arange(regions, dtype=np.uint64) << np.uint64(shift)), len(keys)]
 
 
-def previous(h: np.ndarray) -> np.ndarray:
-    """The word before each, END before a text's first: ends stand in h already."""
-    return np.concatenate([END, h[:-1]])
+def of_words(h: np.ndarray) -> np.ndarray:
+    return mix(h ^ np.uint64(0xA0761D6478BD642F))
 
 
-@dataclass
-class Filter:
-    """Regions of a Bloom filter; an n-gram's hash gives its region and its places there."""
+def of_pairs(low: np.ndarray) -> np.ndarray:
+    return mix(low.astype(np.uint64) + np.uint64(0xE7037ED1A0B428DB))
 
-    words: np.ndarray  # uint8, a row a region
-    bits: int  # of a region
 
-    @staticmethod
-    def region(h: np.ndarray, regions: int) -> np.ndarray:
-        return (mix(h) >> np.uint64(40)).astype(np.int64) % regions
+def places(x: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (n-gram, level): the 64-bit word of the filter, and what gives its bits there, 6 bits each."""
+    y = mix(x + np.uint64(0xD6E8FEB86659FD93 * level & (1 << 64) - 1))
+    return (((y >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)).astype(np.int64), y & np.uint64(0xFFFFFFFF)
 
-    @staticmethod
-    def seeds(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        a = mix(h + np.uint64(0xD6E8FEB86659FD93 * level & (1 << 64) - 1))
-        return a, (a << np.uint64(32)) | (a >> np.uint64(32)) | np.uint64(1)
+
+@dataclass
+class Region:
+    """A region of the filter and its words, in the order of their hashes, with exact counts."""
+
+    bits: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
 
     @staticmethod
-    def place(a: np.ndarray, b: np.ndarray, i: int, bits: int) -> np.ndarray:
-        """The i-th place, below bits (less than 2**32)."""
-        return ((((a + np.uint64(i) * b) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)
-
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """The level of each n-gram."""
-        out, open_ = np.zeros(len(h), np.int64), np.arange(len(h))
-        region = self.region(h, len(self.words))
-        for level in range(1, len(COUNT_OF)):
-            a, b = self.seeds(h, level)
+    def build(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> Region:
+        x = np.concatenate([of_words(words), of_pairs(pairs)])
+        level = level_of(np.concatenate([word_counts, pair_counts]))
+        size = -(-int(level.sum()) * BITS_PER_ENTRY // 64) + 1
+        on = np.zeros(64 * size, np.uint8)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            x, level = x[level >= j], level[level >= j]
+            at, low = places(x, j, size)
             for i in range(PROBES):
-                at = self.place(a, b, i, self.bits)
-                inside = self.words[region, at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
-                if not inside.all():  # what is absent needs no further probes
-                    h, region, open_, a, b = h[inside], region[inside], open_[inside], a[inside], b[inside]
+                on[(at << 6) + (low >> np.uint64(6 * i) & np.uint64(63)).astype(np.int64)] = 1
+        return Region(np.packbits(on, bitorder="little").view("<u8"), words, word_counts)
+
+    def levels(self, x: np.ndarray) -> np.ndarray:
+        """The level of each n-gram: probes until one is absent."""
+        out, open_ = np.zeros(len(x), np.uint8), np.arange(len(x))
+        for level in range(1, len(COUNT_OF)):
+            at, low = places(x, level, len(self.bits))
+            mask = np.uint64(1) << (low & np.uint64(63))
+            for i in range(1, PROBES):
+                mask |= np.uint64(1) << (low >> np.uint64(6 * i) & np.uint64(63))
+            inside = self.bits[at] & mask == mask
+            open_, x = open_[inside], x[inside]
             if not len(open_):
                 break
             out[open_] = level
         return out
 
-
-@dataclass
-class Answers:
-    """Levels of n-grams that regions sent back."""
-
-    h: np.ndarray  # in order
-    level: np.ndarray
-
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        return self.level[np.searchsorted(self.h, h)]
+    def answer(self, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(exact counts of words, their levels, levels of pairs)."""
+        exact = np.zeros(len(words), np.int64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            exact = np.where(self.words[at] == words, self.counts[at], 0)
+        return exact, self.levels(of_words(words)), self.levels(of_pairs(pairs))
 
 
-def count_ngrams(train: DataFrame) -> DataFrame:
-    """(kind, h, c): all words and the pairs with a count of PAIR_LEAST or more."""
-    shards = max(64, partitions(train.sparkSession))
+NOTHING = Region(np.zeros(1, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+REGION = "region int, bits binary, words binary, counts binary, n_words long, n_tokens long"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = Words(), [], 0
-
-        def packed():
-            h = np.concatenate(held)
-            p = pair_hash(previous(h), h)
-            rows = []
-            for kind, x in ((WORD, h), (PAIR, p)):
-                x, c = np.unique(x, return_counts=True)
-                cut = np.searchsorted(x, (np.arange(1, shards, dtype=np.float64) * (2.0**64 / shards)).astype(np.uint64))
-                for s, (a, b) in enumerate(zip(np.split(x, cut), np.split(c, cut), strict=True)):
-                    if len(a):
-                        one = b == 1
-                        rows.append((s, kind, a[one].tobytes(), a[~one].tobytes(), b[~one].astype(np.int64).tobytes()))
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], ["shard", "kind", "once", "more", "counts"])
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                h, _ = words.hashes(batch.column(0).slice(lo, 256).to_pylist())
-                held.append(h)
-                n += len(h)
-                if n >= TASK_TOKENS:
-                    yield packed()
-                    held, n = [], 0
-        if n:
-            yield packed()
+def region_of(bits: bytes, words: bytes, counts: bytes) -> Region:
+    return Region(np.frombuffer(bits, "<u8"), np.frombuffer(words, "<u8"), np.frombuffer(counts, "<i8"))
 
-    def add(group: pa.Table) -> pa.Table:
-        out = []
-        for kind, least in ((WORD, 1), (PAIR, PAIR_LEAST)):
-            own = group.filter(pc.equal(group.column("kind"), kind))
-            join = lambda name, t, own=own: np.frombuffer(b"".join(own.column(name).to_pylist()), t)
-            once, more = join("once", np.uint64), join("more", np.uint64)
-            h = np.concatenate([once, more])
-            c = np.concatenate([np.ones(len(once), np.int64), join("counts", np.int64)])
-            order = np.argsort(h, kind="stable")
-            h, c = h[order], c[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            h, c = h[first], np.add.reduceat(c, first) if len(first) else c
-            keep = c >= least
-            out.append(pa.table({"kind": pa.array(np.full(int(keep.sum()), kind, np.int32)), "h": h[keep].view(np.int64), "c": c[keep]}))
-        return pa.concat_tables(out)
-
-    sent = train.select("text").mapInArrow(count, "shard int, kind int, once binary, more binary, counts binary")
-    return sent.groupBy("shard").applyInArrow(add, "kind int, h long, c long")
 
+def region_bits(text_bytes: int) -> int:
+    """How many leading bits of a hash name its region."""
+    return min(MOST_REGION_BITS, max(LEAST_REGION_BITS, math.ceil(math.log2(max(1, text_bytes / REGION_BYTES)))))
 
-def level_of(c: np.ndarray) -> np.ndarray:
-    return np.searchsorted(STARTS, c, "right")
-
-
-def filter_shape(entries: int) -> tuple[int, int]:
-    """How many regions the filter has, and the bits of each. entries: levels of all n-grams together."""
-    regions = 1 << max(4, math.ceil(math.log2(max(1, entries / REGION_ENTRIES))))
-    return regions, max(64, entries * BITS_PER_ENTRY // regions // 8 * 8)
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
-def filter_regions(counts: DataFrame, regions: int, bits: int) -> DataFrame:
-    """region, bits of the filter of a count_ngrams() table; regions without n-grams are left out."""
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            level = level_of(b.column(2).to_numpy()).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(Filter.region(h, regions).astype(np.int32)), b.column(1), pa.array(level)], ["region", "h", "level"])
-
-    def fill(group: pa.Table) -> pa.Table:
-        h, level = group.column("h").to_numpy().view(np.uint64), group.column("level").to_numpy()
-        on = np.zeros(bits, np.uint8)
-        for j in range(1, int(level.max()) + 1):
-            a, b = Filter.seeds(h[level >= j], j)
-            for i in range(PROBES):
-                on[Filter.place(a, b, i, bits)] = 1
-        return pa.table({"region": group.column("region").slice(0, 1), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
 
-    return counts.select("kind", "h", "c").mapInArrow(numbered, "region int, h long, level int").groupBy("region").applyInArrow(fill, "region int, bits binary")
+def filter_regions(train: DataFrame, bits: int) -> DataFrame:
+    """REGION of the n-grams of train (text). They are counted in each task, sent to their
+    regions as packed arrays and added up there; regions without any are left out."""
+    regions = 1 << bits
 
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(held)
+        pairs, n = np.unique(pair_keys(h, bits), return_counts=True)
+        words, c = np.unique(h, return_counts=True)
+        del h
+        w, p, rows = by_region(words, 64 - bits, regions), by_region(pairs, 32, regions), []
+        for r in range(regions):
+            own, k = pairs[p[r] : p[r + 1]].astype(np.uint32), n[p[r] : p[r + 1]]
+            some = words[w[r] : w[r + 1]]
+            if len(own) or len(some):
+                rows.append((r, some.tobytes(), c[w[r] : w[r + 1]].astype(np.uint32).tobytes(), own[k == 1].tobytes(), own[k > 1].tobytes(), k[k > 1].astype(np.uint32).tobytes()))
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[1:]]], ["region", "words", "counts", "once", "more", "more_counts"])
 
-def build_filter(counts: DataFrame, entries: int) -> Filter:
-    """The whole filter, on the driver."""
-    regions, bits = filter_shape(entries)
-    words = np.zeros((regions, bits // 8), np.uint8)
-    for r in filter_regions(counts, regions, bits).toLocalIterator():  # a partition at a time
-        words[r.region] = np.frombuffer(r.bits, np.uint8)
-    return Filter(words, bits)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for s in slices(batch.column(0)):
+                held.append(hashes(s)[0])
+                n += len(held[-1])
+                if n >= TASK_TOKENS:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
 
+    def add(group: pa.Table) -> pa.Table:
+        join = lambda name, t: np.frombuffer(b"".join(group.column(name).to_pylist()), t)
+        words, c = summed(join("words", np.uint64), join("counts", np.uint32).astype(np.int64))
+        once, more = join("once", np.uint32), join("more", np.uint32)
+        pairs, n = summed(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), join("more_counts", np.uint32).astype(np.int64)]))
+        made = Region.build(words, c, pairs, n)
+        binary = lambda x: pa.array([x.tobytes()], pa.binary())
+        return pa.table([group.column("region").slice(0, 1), binary(made.bits), binary(words), binary(c), pa.array([len(words)], pa.int64()), pa.array([int(c.sum())], pa.int64())], ["region", "bits", "words", "counts", "n_words", "n_tokens"])
+
+    sent = train.select("text").mapInArrow(count, "region int, words binary, counts binary, once binary, more binary, more_counts binary")
+    return sent.groupBy("region").applyInArrow(add, REGION)
+
+
+def split_tokens(texts: pa.ChunkedArray, bits: int):
+    """(ends, distinct words, which of them each token is, distinct pairs, which each token ends)."""
+    h, ends = all_hashes(texts)
+    pairs, pair = np.unique(pair_keys(h, bits), return_inverse=True)
+    words, word = np.unique(h, return_inverse=True)
+    return ends, words, word, pairs, pair
+
+
+def ask_regions(blocks: DataFrame, table: DataFrame, bits: int) -> DataFrame:
+    """block, region, exact, levels, pair_levels: what the regions answer to each block (block,
+    doc_id, text, held_out) about its distinct n-grams, which stand in the order of their hashes."""
+    regions = 1 << bits
+
+    def ask(group: pa.Table) -> pa.Table:
+        h, _ = all_hashes(group.column("text"))
+        words, pairs = np.unique(h), np.unique(pair_keys(h, bits))
+        w, p = by_region(words, 64 - bits, regions), by_region(pairs, 32, regions)
+        there = np.flatnonzero((np.diff(w) > 0) | (np.diff(p) > 0))
+        own = [words[w[r] : w[r + 1]].tobytes() for r in there.tolist()]
+        low = [pairs[p[r] : p[r + 1]].astype(np.uint32).tobytes() for r in there.tolist()]
+        block = pa.array(np.full(len(there), group.column("block")[0].as_py(), np.int64))
+        return pa.table([block, pa.array(there.astype(np.int32)), pa.array(own, pa.binary()), pa.array(low, pa.binary())], ["block", "region", "words", "pairs"])
 
-def ask_regions(blocks: DataFrame, counts: DataFrame, regions: int, bits: int) -> DataFrame:
-    """block, grams, levels of all n-grams of the texts of blocks (block, text), by their regions."""
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        made = region_of(*[own.column(c)[0].as_py() for c in ("bits", "words", "counts")]) if own.num_rows else NOTHING
+        out = [made.answer(np.frombuffer(w.as_py(), np.uint64), np.frombuffer(p.as_py(), np.uint32)) for w, p in zip(asked.column("words"), asked.column("pairs"), strict=True)]
+        binary = [pa.array([x[k].tobytes() for x in out], pa.binary()) for k in range(3)]
+        return pa.table([asked.column("block"), asked.column("region"), *binary], ["block", "region", "exact", "levels", "pair_levels"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(0, np.int64)
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                h, _ = words.hashes(batch.column(1).slice(lo, hi - lo).to_pylist())
-                grams = np.unique(np.concatenate([END, h, pair_hash(previous(h), h)]))
-                region = Filter.region(grams, regions)
-                order = np.argsort(region, kind="stable")
-                there, first = np.unique(region[order], return_index=True)
-                parts = [x.tobytes() for x in np.split(grams[order], first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), block[lo])), pa.array(there.astype(np.int32)), pa.array(parts, pa.binary())], ["block", "region", "grams"])
+    asked = blocks.groupBy("block").applyInArrow(ask, "block long, region int, words binary, pairs binary")
+    return asked.groupBy("region").cogroup(table.groupBy("region")).applyInArrow(answer, "block long, region int, exact binary, levels binary, pair_levels binary")
 
-    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
-        row = np.frombuffer(own.column("bits")[0].as_py(), np.uint8) if own.num_rows else np.zeros(bits // 8, np.uint8)
-        lookup = Filter(row[None], bits)
-        # level_starts() has fewer than 256
-        levels = [lookup.levels(np.frombuffer(g, np.uint64)).astype(np.uint8).tobytes() for g in asked.column("grams").to_pylist()]
-        return pa.table({"block": asked.column("block"), "grams": asked.column("grams"), "levels": pa.array(levels, pa.binary())})
 
-    asked = blocks.select("block", "text").mapInArrow(ask, "block long, region int, grams binary")
-    own = filter_regions(counts, regions, bits)
-    return asked.groupBy("region").cogroup(own.groupBy("region")).applyInArrow(answer, "block long, grams binary, levels binary")
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all documents."""
     spark = docs.sparkSession
     both = documents(docs).withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % SPLIT == HELD_OUT)
-    counts = materialize(spark, count_ngrams(both.where("not held_out")), "ngrams")
-
-    def by_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = np.zeros((2, len(STARTS) + 1), np.int64), np.zeros((2, len(STARTS) + 1), np.int64)
-        for b in batches:
-            kind, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            np.add.at(n, (kind, level := level_of(c)), 1)
-            np.add.at(total, (kind, level), c)
-        k, level = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(n[k, level]), pa.array(total[k, level])], ["kind", "level", "n", "total"])
-
-    # a row for each kind and level
-    levels = counts.select("kind", "c").mapInArrow(by_level, "kind int, level int, n long, total long").groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
-    v = sum(r.n for r in levels if r.kind == WORD)
-    n_train = sum(r.total for r in levels if r.kind == WORD)
-    entries = sum(r.n * r.level for r in levels)
-    regions, region_bits = filter_shape(entries)
-    made_whole = regions * region_bits <= BROADCAST_BITS
-    made = build_filter(counts, entries) if made_whole else None
-
-    # the least count from which at most HOT_WORDS words are
-    least, seen = len(STARTS) + 1, 0
-    of_level = {r.level: r.n for r in levels if r.kind == WORD}
-    while least > 1 and seen + of_level.get(least - 1, 0) <= HOT_WORDS:
-        least -= 1
-        seen += of_level.get(least, 0)
-    hot_from = int(STARTS[least - 1]) if least <= len(STARTS) else 1 << 62
-    words = counts.where(F.col("kind") == WORD)
-    hot = words.where(F.col("c") >= hot_from).select("h", "c").toArrow()  # HOT_WORDS rows at most
-    hot_h, hot_c = hot["h"].to_numpy().view(np.uint64), hot["c"].to_numpy()
-    order = np.argsort(hot_h)
-    model = spark.sparkContext.broadcast((made and (made.words, made.bits), hot_h[order], hot_c[order]))
-    del made, hot, hot_h, hot_c, order
-    norm = math.log10(n_train + v + 1)
-
-    def score_rows(b: pa.RecordBatch, uid: int, lookup: Filter | Answers, words: Words) -> pa.RecordBatch:
-        _, hot_h, hot_c = model.value
-        h, ends = words.hashes(b.column(1).to_pylist())
+    text_bytes = both.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = region_bits(text_bytes)
+    regions = 1 << bits
+    table = materialize(spark, filter_regions(both.where("not held_out"), bits), "ngrams")
+    n_train, v, size = (x or 0 for x in table.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum(F.length("bits") + F.length("words") + F.length("counts"))).first())
+    total = n_train + v + 1
+
+    def scores(doc_id, held_out, ends, word, exact, c1, pair, c2) -> pa.Table:
+        """word, pair: which distinct one each token is; exact, c1, c2: of those."""
         starts = np.r_[0, ends[:-1]]
-        unique, word = np.unique(np.concatenate([END, h]), return_inverse=True)
-        c1 = COUNT_OF[lookup.levels(unique)]
-        before, now = word[:-1], word[1:]
-        p1 = (c1[now] + 1) / (n_train + v + 1)
-        pair = np.zeros(len(h))
-        known = (c1[before] >= PAIR_LEAST) & (c1[now] >= PAIR_LEAST)
-        pair[known] = COUNT_OF[lookup.levels(pair_hash(unique[before[known]], h[known]))]
-        pair = np.minimum(pair, np.minimum(c1[before], c1[now]))
-        p = np.log10((pair + MU * p1) / (c1[before] + MU))
-        at = np.minimum(np.searchsorted(hot_h, unique), max(0, len(hot_h) - 1))
-        is_hot = hot_h[at] == unique if len(hot_h) else np.zeros(len(unique), bool)
-        exact = np.where(is_hot, hot_c[at] if len(hot_h) else 0, 0)
-        base = np.add.reduceat(np.log10(exact + 1.0)[now], starts)
-        n_hot = np.add.reduceat(is_hot[now].astype(np.int64), starts)
-        # a word that the filter doesn't know is in no training text
-        rare = np.flatnonzero(~is_hot[now] & (c1[now] > 0))
-        doc = np.searchsorted(ends, rare, "right")
-        rare_h, rare_n = [], []
-        cuts = np.searchsorted(doc, np.arange(b.num_rows + 1))
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            x, k = np.unique(h[rare[a:z]], return_counts=True)
-            rare_h.append(x.view(np.int64))
-            rare_n.append(k)
-        lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in xs])].astype(np.int32)), pa.array(np.concatenate([*xs, np.zeros(0, np.int64)]).astype(np.int64)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(uid + np.arange(b.num_rows)), b.column(0), b.column(2), pa.array(ends - starts), pa.array(n_hot), pa.array(base), pa.array(np.add.reduceat(p, starts)), lists(rare_h), lists(rare_n)],
-            ["uid", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "score", "rare_h", "rare_n"],
+        end = word[ends[0] - 1]
+        before = np.r_[end, word[:-1]]
+        p1 = (c1 + 1) / total
+        together = np.minimum(c2[pair], np.minimum(c1[before], c1[word]))
+        p = np.log10((together + MU * p1[word]) / (c1[before] + MU))
+        base = np.log10(exact + 1.0) - math.log10(total)
+        n = pa.array((ends - starts).astype(np.int64))
+        return pa.table(
+            [doc_id, held_out, n, pa.array(np.add.reduceat((exact > 0).astype(np.int64)[word], starts)), pa.array(np.add.reduceat(base[word], starts)), pa.array(np.add.reduceat(p, starts))],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, words = Filter(*model.value[0]), Words()
-        uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
-                yield score_rows(b, uid, lookup, words)
-                uid += b.num_rows
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK_ROWS):
-                b = batch.slice(lo, BLOCK_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, at)), *b.columns], ["block", *b.schema.names])
-                at += b.num_rows
-
-    def score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(answers.column("grams").to_pylist()), np.uint64)
-        h, first = np.unique(h, return_index=True)  # a block read in two pieces asks twice
-        lookup = Answers(h, np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)[first].astype(np.int64))
-        uid, words, out = texts.column("block")[0].as_py(), Words(), []
-        for b in texts.select(["doc_id", "text", "held_out"]).to_batches(max_chunksize=256):
-            out.append(score_rows(b, uid, lookup, words))
-            uid += b.num_rows
-        return pa.Table.from_batches(out)
-
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_hot long, base_hot double, score double, rare_h array<long>, rare_n array<long>"
-    if made_whole:
-        rows = both.mapInArrow(score, schema)
+    if size <= BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast({r.region: (bytes(r.bits), bytes(r.words), bytes(r.counts)) for r in table.toLocalIterator()})
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made = {r: region_of(*x) for r, x in shared.value.items()}
+            for batch in batches:
+                lo = 0
+                for s in slices(batch.column(1)):
+                    ends, words, word, pairs, pair = split_tokens(s, bits)
+                    w, p = by_region(words, 64 - bits, regions), by_region(pairs, 32, regions)
+                    got = [made.get(r, NOTHING).answer(words[w[r] : w[r + 1]], pairs[p[r] : p[r + 1]].astype(np.uint32)) for r in range(regions)]
+                    exact, c1, c2 = (np.concatenate([x[k] for x in got]) for k in range(3))
+                    own = batch.slice(lo, len(s))
+                    yield from scores(own.column(0), own.column(2), ends, word, exact, COUNT_OF[c1], pair, COUNT_OF[c2]).to_batches()
+                    lo += len(s)
+
+        out = both.mapInArrow(score, SCORED)
     else:
-        blocks = materialize(spark, both.mapInArrow(numbered, "block long, doc_id long, text string, held_out boolean"), "blocks")
-        answers = ask_regions(blocks, counts, regions, region_bits)
-        rows = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block, schema)
-    scored = materialize(spark, rows, "scored")
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("r")).select("uid", F.col("r.rare_h").alias("h"), F.col("r.rare_n").alias("n"))
-    found = rare.join(words.where(F.col("c") < hot_from).select("h", "c"), "h").groupBy("uid").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("base_rare"))
-    out = scored.drop("rare_h", "rare_n").join(found, "uid", "left")
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(n_train)).cast("long").alias("train_tokens"),
-        (F.col("base_hot") + F.coalesce("base_rare", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        "score",
-    )
+
+        def score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            answers = answers.sort_by("region")
+            join = lambda name, t: np.frombuffer(b"".join(answers.column(name).to_pylist()), t)
+            exact, c1, c2 = join("exact", np.int64), COUNT_OF[join("levels", np.uint8)], COUNT_OF[join("pair_levels", np.uint8)]
+            ends, _, word, _, pair = split_tokens(texts.column("text"), bits)
+            return scores(texts.column("doc_id"), texts.column("held_out"), ends, word, exact, c1, pair, c2)
+
+        n_blocks = max(1, -(-text_bytes // BLOCK_BYTES))
+        # a row's place in the input deals it out, so that copies don't gather
+        blocks = both.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).alias("block"), "doc_id", "text", "held_out")
+        answers = ask_regions(blocks, table, bits)
+        out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block, SCORED)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out_doc(doc_id: int | None) -> bool:
