@@ -57,14 +57,14 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) of every document."""
+    """doc_id, key (a hash of the text) and fp (the fingerprint's bits as a long) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for lo in range(0, b.num_rows, 256) for t in b.column(2).slice(lo, 256).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, fp long")
+    return documents(docs).select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
@@ -261,26 +261,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_classes(spark: SparkSession, hashed: DataFrame) -> DataFrame:
-    """(fp, component_id, size) of the fingerprints of hashed (doc_id, fp) that more than one
-    row shares or a link reaches; size: rows of the fingerprint."""
-    nodes = materialize(spark, hashed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "nodes")
+    """(fp, component_id, stay, size) of the fingerprints of hashed (doc_id, key, fp) that more
+    than one row shares or a link reaches; stay: the key of a row with the id component_id; size:
+    rows of the fingerprint."""
+    first = lambda doc_id: F.min_by("key", F.coalesce(doc_id, F.lit((1 << 63) - 1)))
+    nodes = materialize(spark, hashed.groupBy("fp").agg(F.min("doc_id").alias("least"), first("doc_id").alias("key"), F.count("*").alias("size")), "nodes")
     found = materialize(spark, components(spark, links(spark, nodes, nodes.count())), "components")
     linked = nodes.join(found, nodes["fp"] == found["node"], "left").withColumn("root", F.coalesce("root", "fp"))
     linked = linked.where("size > 1 or node is not null").unionByName(nodes.join(found.select(F.col("root").alias("fp")).distinct(), "fp").where("size = 1").withColumn("node", F.lit(None).cast("long")).withColumn("root", F.col("fp")).select(*linked.columns))
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(spark, linked.join(ids, "root").select("fp", "component_id", "size"), "near-classes")
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"), first("least").alias("stay"))
+    return materialize(spark, linked.join(ids, "root").select("fp", "component_id", "stay", "size"), "near-classes")
 
 
 def with_components(hashed: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
-    """hashed with component_id. Fingerprints of a thousandth of all rows or more, at most a
-    thousand, are broadcast, so that no hot fingerprint meets in a task; others too, if few."""
-    classes = classes.select("fp", "component_id", "size")
+    """hashed with component_id and stay (null: a document alone). Fingerprints of a thousandth
+    of all rows or more, at most a thousand, are broadcast, so that no hot fingerprint meets in
+    a task; others too, if few."""
+    classes = classes.select("fp", "component_id", "stay", "size")
     if classes.count() <= BROADCAST_ROWS:
         out = hashed.join(F.broadcast(classes), "fp", "left")
     else:
         hot = hashed.join(F.broadcast(classes.where(F.col("size") >= rows / 1000)), "fp", "left")
         is_hot = F.col("size").isNotNull()
-        out = hot.where(is_hot).unionByName(hot.where(~is_hot).drop("component_id", "size").join(classes.where(F.col("size") < rows / 1000), "fp", "left"))
+        out = hot.where(is_hot).unionByName(hot.where(~is_hot).drop("component_id", "stay", "size").join(classes.where(F.col("size") < rows / 1000), "fp", "left"))
     return out.withColumn("component_id", F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).drop("size")
 
 
@@ -289,10 +292,25 @@ def hex_fingerprint(fp: Column | str) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component (the smallest doc_id), with all columns."""
+    """docs with one document of each component (the smallest doc_id, null after all others),
+    with all columns. A document is known by its id and text: rows with one id and different
+    texts are different documents, rows with one id and one text are the same, of which one row
+    stays."""
     spark = docs.sparkSession
     hashed = materialize(spark, fingerprints(docs), "simhash")
-    classes = fingerprint_classes(spark, hashed)
-    gone = with_components(hashed, classes, hashed.count()).where("not doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    return out.select(*[docs[f"`{c}`"] for c in docs.columns])
+    marked = with_components(hashed, fingerprint_classes(spark, hashed), hashed.count()).where("stay is not null")
+    stays = F.expr("doc_id <=> component_id and key = stay")
+    gone = materialize(spark, marked.where(~stays).select("doc_id", "key").distinct(), "gone")
+    again = materialize(spark, marked.where(stays).groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "again")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("key"))
+
+    def among(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.toDF("__doc_id", "__key")
+        return df.join(few(keys), df["doc_id"].eqNullSafe(keys["__doc_id"]) & (df["key"] == keys["__key"]), how)
+
+    out = among(row, gone, "left_anti")
+    if again.count():
+        once = among(out, again, "left_semi").dropDuplicates(["doc_id", "key"])
+        out = among(out, again, "left_anti").unionByName(once)
+    return out.select("__row.*")
