@@ -1,11 +1,19 @@
 """Main text of web pages by two passes of block rules.
 
 A page's markup is read once into blocks: text between block-level tags, with the share of it
-that is in links and what the block stands in. The first pass decides from a block alone: blocks
-of menus, page headers, footers, sidebars, notices, adverts, forms and comments, and blocks that
-are mostly links, are boilerplate; blocks of an article are content; on pages without an article,
-long blocks with many stop words are content and blocks with few are not. What is too short to
-tell stays undecided, and the second pass gives it the label of its nearest decided neighbours.
+that is in links and where the block stands. The first pass decides from a block alone:
+
+- markup: blocks of menus, page headers, footers, sidebars, notices, adverts, forms and comments
+  are boilerplate;
+- links: blocks that are mostly links are boilerplate, or, short ones in a sentence of an article,
+  undecided;
+- density: long blocks with many stop words are content, blocks with few are boilerplate, what is
+  too short or between is undecided.
+
+The bounds of the last rule depend on the place: lower within an article element, where blocks
+without stop words (another language, a table) stay undecided at worst, and higher beside one. The
+second pass gives an undecided block the label of its nearest decided neighbours in the same
+place; without any, the place decides. Time is linear in the page's length.
 
 Cases: null and empty pages have an empty text; broken or cut markup is read as far as it goes;
 repeated rows each get a row; an empty table gives no rows. Blocks are kept whole.
@@ -16,7 +24,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,11 +61,16 @@ BOILERPLATE_NAMES = frozenset(
     " comments respond reply replies discussion disqus widget toolbar disclaimer copyright search skip".split()
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Characters from which a block is long enough to tell, and to be content by stop words.
-SHORT, LONG = 70, 140
-STOP_LOW, STOP_HIGH, LINKS_HIGH = 0.15, 0.25, 0.5
+#: By place: characters from which a block is long enough to tell, and to be content; shares of
+#: stop words below which it is boilerplate, and from which it is content.
+BOUNDS = {"article": (40, 60, 0.0, 0.1), "beside": (70, 280, 0.25, 0.4), "page": (70, 140, 0.15, 0.25)}
+LINKS_HIGH = 0.5
+#: What a page's undecided blocks are where none of their place is decided.
+ALONE = {"article": "content", "beside": "boilerplate", "page": "content"}
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
+#: After the last ">".
+CUT = re.compile(r"<!--.*|<[!?/a-zA-Z].*", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -68,7 +81,9 @@ class Block:
     boilerplate: bool
     in_article: bool
     heading: bool
+    #: content, boilerplate or short (undecided), and the rule that said so
     label: str = ""
+    rule: str = ""
 
 
 @dataclass
@@ -76,7 +91,48 @@ class _Open:
     tag: str
     boilerplate: bool
     article: bool
-    header: bool = field(default=False)
+
+
+class _Stack:
+    """Open elements, with counts of what a block stands in and the places of each tag."""
+
+    def __init__(self):
+        self.open: list[_Open] = []
+        self.at: dict[str, list[int]] = {}
+        self.boilerplate = self.articles = 0
+
+    def count(self, *tags: str) -> int:
+        return sum(len(self.at.get(t, ())) for t in tags)
+
+    def push(self, o: _Open) -> None:
+        self.at.setdefault(o.tag, []).append(len(self.open))
+        self.open.append(o)
+        self.boilerplate += o.boilerplate
+        self.articles += o.article
+
+    def _leave(self, o: _Open) -> None:
+        self.boilerplate -= o.boilerplate
+        self.articles -= o.article
+        o.boilerplate = o.article = False
+
+    def pop(self) -> None:
+        o = self.open.pop()
+        self._leave(o)
+        if o.tag:
+            self.at[o.tag].pop()
+
+    def close(self, tag: str) -> None:
+        """The innermost element of a tag ends, and all in it."""
+        if self.at.get(tag):
+            end = self.at[tag][-1]
+            while len(self.open) > end:
+                self.pop()
+
+    def forget(self, tag: str) -> None:
+        """Nothing stands in elements of a tag from here on."""
+        for i in self.at.pop(tag, ()):
+            self._leave(self.open[i])
+            self.open[i].tag = ""
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -96,8 +152,9 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[_Open] = []
+    stack = _Stack()
     in_link, link_parts, breaks, at, n = 0, [], 0, 0, len(page)
+    last_end = page.rfind(">")
 
     def close() -> None:
         nonlocal breaks
@@ -105,15 +162,14 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             links = len(" ".join(html.unescape(" ".join(link_parts)).split()))
-            in_article = any(o.article for o in stack)
-            heading = any(o.tag in HEADINGS for o in stack)
+            in_article, heading = stack.articles > 0, stack.count(*HEADINGS) > 0
             # a header of the article may hold its title
-            out.append(Block(text, links, any(o.boilerplate for o in stack) or any(o.header for o in stack) and not (in_article and heading), in_article, heading))
+            out.append(Block(text, links, stack.boilerplate > 0 or stack.count("header") > 0 and not (in_article and heading), in_article, heading))
         parts.clear()
         link_parts.clear()
 
     while at < n:
-        m = MARKUP.search(page, at)
+        m = MARKUP.search(page, at) if at <= last_end else CUT.search(page, at)
         text = page[at : m.start() if m else n]
         if text:
             if not text.isspace():
@@ -124,7 +180,7 @@ def blocks_of(page: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        tag = (m[2] or "").lower()
+        tag = (m[2] or "").lower() if m.re is MARKUP else ""
         if not tag:
             continue
         if tag == "br":
@@ -138,10 +194,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "a":
             in_link = 0 if m[1] else 1
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            stack.close(tag)
             continue
         if tag in RAW_TAGS:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -149,13 +202,12 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
-        if tag in BLOCK_TAGS and stack and stack[-1].tag == "p":
-            stack.pop()
-        if tag == "li" and stack and stack[-1].tag == "li":
+        if stack.open and (tag in BLOCK_TAGS and stack.open[-1].tag == "p" or tag == "li" and stack.open[-1].tag == "li"):
             stack.pop()
         if tag == "body" or tag in ARTICLE_TAGS:  # neither stands in a head or an open menu
-            stack[:] = [o for o in stack if not (o.tag == "head" or o.tag == "nav")]
-        stack.append(_Open(tag, tag in BOILERPLATE_TAGS or tag not in ("html", "body") and _named_boilerplate(m[3]), tag in ARTICLE_TAGS or 'role="main"' in m[3], tag == "header"))
+            stack.forget("head")
+            stack.forget("nav")
+        stack.push(_Open(tag, tag in BOILERPLATE_TAGS or tag not in ("html", "body") and _named_boilerplate(m[3]), tag in ARTICLE_TAGS or 'role="main"' in m[3]))
     close()
     return out
 
@@ -165,57 +217,57 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def places(blocks: list[Block]) -> list[str]:
+    """article, beside (an article), or page (without one), of each block."""
+    has_article = any(b.in_article and not b.boilerplate for b in blocks)
+    return ["article" if b.in_article else "beside" if has_article else "page" for b in blocks]
+
+
 def decide(blocks: list[Block]) -> None:
     """First pass: content, boilerplate, or short (undecided)."""
-    has_article = any(b.in_article and not b.boilerplate for b in blocks)
-    for b in blocks:
-        density = b.link_chars / len(b.text)
-        if b.boilerplate or has_article and not b.in_article:
-            b.label = "boilerplate"
-        elif density > LINKS_HIGH:
+    for b, place in zip(blocks, places(blocks), strict=True):
+        short, long, low, high = BOUNDS[place]
+        size = len(b.text)
+        if b.boilerplate:
+            b.label, b.rule = "boilerplate", "markup"
+        elif b.link_chars > LINKS_HIGH * size:
             # a short run of links between paragraphs may be part of a sentence
-            b.label = "short" if has_article and len(b.text) < SHORT and not b.heading else "boilerplate"
-        elif has_article:
-            b.label = "content"
-        elif len(b.text) < SHORT:
-            b.label = "short"
+            b.label, b.rule = "short" if place == "article" and size < BOUNDS["page"][0] and not b.heading else "boilerplate", "links"
+        elif size < short:
+            b.label, b.rule = "short", "length"
         else:
             stop = stop_density(b.text)
-            b.label = "content" if stop >= STOP_HIGH and len(b.text) >= LONG else "short" if stop >= STOP_LOW else "boilerplate"
+            b.label, b.rule = "content" if stop >= high and size >= long else "short" if stop >= low else "boilerplate", "density"
 
 
 def settle(blocks: list[Block]) -> None:
-    """Second pass: undecided blocks take the label of the nearest decided neighbours, content
-    if both have it or the nearer one does (a heading looks ahead only); a page without any
-    decided block keeps its undecided ones."""
-    n = len(blocks)
-    before, after, last = [None] * n, [None] * n, None
-    for i, b in enumerate(blocks):
-        before[i] = last
-        last = i if b.label != "short" else last
-    last = None
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = i if blocks[i].label != "short" else last
+    """Second pass: undecided blocks take the label of the nearest block of their place that the
+    first pass decided, the one before where both are as near; a heading looks ahead only. Where
+    there is none, ALONE. What markup decides within an article is no neighbour: an advert between
+    paragraphs says nothing of them."""
+    where = places(blocks)
+    before, after = [None] * len(blocks), [None] * len(blocks)
+    for found, order in ((before, range(len(blocks))), (after, range(len(blocks) - 1, -1, -1))):
+        last: dict[str, int] = {}
+        for i in order:
+            found[i] = last.get(where[i])
+            if blocks[i].label != "short" and (blocks[i].rule != "markup" or where[i] != "article"):
+                last[where[i]] = i
+    new = {}
     for i, b in enumerate(blocks):
         if b.label == "short":
-            x, y = before[i], after[i]
-            if x is None and y is None:
-                new = "content"
-            elif b.heading:
-                new = "boilerplate" if y is None else blocks[y].label
-            elif x is None or y is None:
-                new = blocks[y if x is None else x].label
-            else:
-                new = blocks[x if i - x <= y - i else y].label
-            b.label = "inherit-" + new
+            x, y = before[i] if not b.heading else None, after[i]
+            near = y if x is None else x if y is None or i - x <= y - i else y
+            new[i] = (ALONE[where[i]], "place") if near is None else (blocks[near].label, "neighbour")
+    for i, (label, rule) in new.items():
+        blocks[i].label, blocks[i].rule = label, rule
 
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     decide(blocks)
     settle(blocks)
-    return "\n".join(b.text for b in blocks if b.label.endswith("content"))
+    return "\n".join(b.text for b in blocks if b.label == "content")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -447,3 +447,120 @@ def test_html_without_article():
     links = "<div><a href=1>Some link of a menu</a> <a href=2>Another link here</a></div>" * 3
     page = f"<body>{links}<h2>A title</h2><p>{long}</p><p>Short one</p><p>{long}</p>{links}<p>tail</p></body>"
     assert html.main_text(page) == "\n".join(["A title", long.strip(), "Short one", long.strip()])
+
+
+def random_tree(rng, depth):
+    """A tree of elements that no rule of unclosed tags touches: (tag, attributes, children) or text."""
+    words = "the of and in house mountain river table is was eu zx".split()
+    if depth == 0 or rng.random() < 0.35:
+        return " ".join(rng.choice(words, rng.integers(1, 40))) + " "
+    tag = str(rng.choice(["div", "section", "article", "nav", "aside", "ul", "span", "b", "a", "h2", "header", "blockquote"]))
+    attributes = str(rng.choice(["", "", "", ' class="ad"', ' id="main-text"', ' class="share-bar"']))
+    return tag, attributes, [random_tree(rng, depth - 1) for _ in range(rng.integers(1, 5))]
+
+
+def rendered(node):
+    return node if isinstance(node, str) else f"<{node[0]}{node[1]}>{''.join(map(rendered, node[2]))}</{node[0]}>"
+
+
+def tree_blocks(node):
+    """(text, link characters, boilerplate, in article, heading) by recursion over the tree."""
+    out, text, links = [], [], []
+
+    def flush(path):
+        t = " ".join("".join(text).split())
+        if t:
+            tags = [tag for tag, _ in path]
+            bad = any(tag in html.BOILERPLATE_TAGS or a in (' class="ad"', ' class="share-bar"') for tag, a in path)
+            article = "article" in tags
+            heading = "h2" in tags
+            out.append((t, len(" ".join(" ".join(links).split())), bad or "header" in tags and not (article and heading), article, heading))
+        text.clear()
+        links.clear()
+
+    def walk(node, path, linked):
+        if isinstance(node, str):
+            text.append(node)
+            if linked:
+                links.append(node)
+            return
+        tag, a, children = node
+        if tag in html.BLOCK_TAGS:
+            flush(path)
+        if tag == "article":  # no menu holds an article
+            path = [x for x in path if x[0] != "nav"]
+        for c in children:
+            walk(c, [*path, (tag, a)], tag == "a" or linked)
+        if tag in html.BLOCK_TAGS:
+            flush([*path, (tag, a)])
+
+    walk(node, [], False)
+    flush([])
+    return out
+
+
+def no_nested_links(node, inside=False):
+    if isinstance(node, str):
+        return True
+    return not (inside and node[0] == "a") and all(no_nested_links(c, inside or node[0] == "a") for c in node[2])
+
+
+def has_article_in_nav(node, inside=False):
+    if isinstance(node, str):
+        return False
+    return inside and node[0] == "article" or any(has_article_in_nav(c, inside or node[0] == "nav") for c in node[2])
+
+
+def brute_main_text(blocks):
+    """Both passes, block by block over all others."""
+    has = any(article and not bad for _, _, bad, article, _ in blocks)
+    place = ["article" if b[3] else "beside" if has else "page" for b in blocks]
+    first = []
+    for (t, links, bad, _, heading), w in zip(blocks, place):
+        short, long, low, high = html.BOUNDS[w]
+        stop = sum(x.strip(".,;:!?\"'()[]#*$%&|<>-").lower() in html.STOP_WORDS for x in t.split()) / len(t.split())
+        if bad:
+            first.append("markup")
+        elif links / len(t) > html.LINKS_HIGH:
+            first.append(None if w == "article" and len(t) < 70 and not heading else "boilerplate")
+        elif len(t) < short:
+            first.append(None)
+        else:
+            first.append("content" if stop >= high and len(t) >= long else None if stop >= low else "boilerplate")
+    out = []
+    for i, b in enumerate(blocks):
+        label = first[i]
+        if label is None:
+            near = [(abs(i - j), j > i, j) for j in range(len(blocks)) if first[j] and place[j] == place[i] and not (first[j] == "markup" and place[j] == "article") and (j > i or not b[4])]
+            label = first[min(near)[2]] if near else html.ALONE[place[i]]
+        if label == "content":
+            out.append(b[0])
+    return "\n".join(out)
+
+
+def test_html_against_brute_force():
+    rng, rules = np.random.default_rng(11), collections.Counter()
+    for _ in range(600):
+        tree = ("div", "", [random_tree(rng, 4) for _ in range(rng.integers(1, 7))])
+        if not no_nested_links(tree) or has_article_in_nav(tree):
+            continue
+        want = tree_blocks(tree)
+        got = html.blocks_of(rendered(tree))
+        assert [(b.text, b.link_chars, b.boilerplate, b.in_article, b.heading) for b in got] == want
+        assert html.main_text(rendered(tree)) == brute_main_text(want)
+        html.decide(got)
+        html.settle(got)
+        rules.update(b.rule for b in got)
+    assert min(rules[r] for r in ("markup", "links", "density", "neighbour", "place")) > 20
+
+
+def test_html_of_long_and_broken_pages(spark):
+    import time
+
+    pages = ["<b>" * 20000 + "<p>x</p>" * 2000, "<b>" * 20000 + "</i>" * 20000 + "<nav><article>" * 3000, "<a '" * 20000, "<" * 50000, "<!--" * 20000, "<script>" * 20000, "<table><tr><td>" * 20000]
+    began = time.process_time()
+    for p in pages:
+        html.main_text(p)
+    assert time.process_time() - began < 5
+    df = spark.createDataFrame([(1, "u", "<p>a", "t", 5)], "page_id int, url string, html string, text string, n_chars int")
+    assert html.extract(df).collect() == [(1, "u", "a", 1)] and html.extract(df.where("false")).count() == 0
