@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses
 from .common import materialize, read_table
 
 
@@ -56,8 +57,6 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import licenses
-
     return licenses.scan_documents(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
@@ -90,6 +89,7 @@ QUERIES = {
     for f in (op1_packing, op2_simhash, op3_quality_rules, op4_lm_scoring, op5_exact_dedup, op6_license_scan, op7_token_files, op8_token_counts, op9_html_text, op10_bpe)
 }
 ORACLES = {
+    "op6_license_scan": licenses.oracle_sql(),
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -388,13 +388,57 @@ def test_filter_levels():
 
 def test_licenses(docs, spark):
     text = "foo bar.\nThis project is licensed UNDER the\n MIT-License. Also CC-BY-NC 4.0; Apache License, Version 2.0\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: under the mit license"
-    r = licenses.scan_documents(spark.createDataFrame([(1, text), (2, "Redistribution and use in source and binary, forms without")], "doc_id long, text string")).collect()
+    cases = [text, "Redistribution and use in source and binary, forms without", "All rights reserved.", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0 International License", "apache license, version 2"]
+    r = licenses.scan_documents(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert r[0].base_labels == "apache-2,cc-by-nc,mit" and r[0].labels == "apache-2,bsd,cc-by-nc,mit" and r[0].n_base == 4 and r[0].first_word == 6
     assert r[1].labels == "" and r[1].first_word is None and r[1].score == 0
-    a = licenses.Automaton("x <<beginOptional>>y z<<endOptional>> <<var;2>> end")
-    w = lambda s: s.encode().split()
-    assert [a.match(w(s), 0) for s in ("x end", "x y z end", "x y end", "x y z q r end", "x y z q r s end", "y end")] == [2, 4, 3, 6, None, None]
-    assert {x.doc_id for x in licenses.scan_documents(docs).collect() if x.labels} == {14}
+    assert [x.labels for x in r[2:]] == ["all-rights-reserved", "cc-by", "cc-by-sa", "apache-2"]
+    assert r[2].score == 0.5 and r[3].score == 0.9 and r[5].score == 0.6
+
+
+def test_automata_against_regular_expressions():
+    rng = np.random.default_rng(3)
+    templates = [t for ts in licenses.TEMPLATES.values() for _, t in ts] + ["x <<beginOptional>>y <<beginOptional>>z<<endOptional>><<endOptional>> <<var;2>> end", "<<beginOptional>>a<<endOptional>> <<var;1>> b <<var;3>>"]
+    for template in templates:
+        a, find = licenses.Automaton(template), re.compile(licenses.pattern(template))
+        kept = [m[0] for m in licenses.MARKUP.finditer(template) if not m[1] and licenses.words(m[0])]
+        for _ in range(30):
+            # the template's own words, now and then one more, one less or another
+            words = [w.decode() for x in kept for w in licenses.words(x) if rng.random() > 0.05]
+            for _ in range(rng.integers(0, 3)):
+                words.insert(int(rng.integers(0, len(words) + 1)), str(rng.choice(["x", "y", "end", "b", "version"])))
+            words = ["lead", *words, "tail"]
+            text = "".join(f"{w} " for w in words)
+            for i in {0, 1, int(rng.integers(0, len(words)))}:
+                at = sum(len(w) + 1 for w in words[:i])
+                ends = [k for k in range(i, len(words) + 1) if find.fullmatch(text, at, sum(len(w) + 1 for w in words[:k]))]
+                assert a.match([w.encode() for w in words], i) == max(ends, default=None), (template, text)
+
+
+def test_whole_licences_need_their_wording():
+    for label, ts in licenses.TEMPLATES.items():
+        for kind, t in ts:
+            if kind != "text":
+                continue
+            parts, depth = [], 0
+            for m in licenses.MARKUP.finditer(t):
+                depth += {"beginOptional": 1, "endOptional": -1}.get(m[1], 0)
+                if not m[1] and not depth:
+                    parts.append(m[0])
+            scan = licenses.Scanner({label: [(kind, t)]}).scan
+            assert scan("Copyright 2020 X\n" + ", ".join(parts).upper() + ".")[2:] == ({label: (3, 3 + len(parts))}, 1.0)
+            for k in range(0, len(parts), 9):
+                assert scan(" ".join([*parts[:k], "other", "words", *[str(x) for x in range(12)], *parts[k + 1 :]]))[2] == {}
+
+
+def test_licence_base_columns(docs, rows):
+    got = collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan_documents(docs).collect())
+    want = collections.Counter()
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_az(t or ""))
+        found = [(k, label) for phrase, label in licenses.BASE_PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        want[(i, len(w), len(found), min((k for k, _ in found), default=None), max((k for k, _ in found), default=None), ",".join(sorted({x for _, x in found})))] += 1
+    assert got == want
 
 
 def test_token_files(docs, rows):
