@@ -1,4 +1,8 @@
-"""Column expressions over names, paths and texts."""
+"""Column expressions over names, paths and texts.
+
+Cases: a null argument gives null (predicates: null, which no filter lets through); the empty text
+has no n-grams, hashes or tokens, and an empty name has no extension.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: File extensions by class.
-DATA_EXTENSIONS = (".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".md", ".txt", ".html", ".css", ".xml", ".csv", ".lock", ".sql", ".sh")
+DATA_EXTENSIONS = (".json", ".txt", ".md", ".png", ".jpg", ".jpeg", ".gif", ".xml", ".yml", ".yaml", ".html", ".css", ".svg", ".csv", ".ini")
+IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".gif")
 CODE_EXTENSIONS = (".py", ".js", ".ts", ".java", ".kt", ".c", ".h", ".cpp", ".go", ".rs")
 
 
@@ -21,6 +26,11 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9_]+)$", 1))
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 text; what isn't UTF-8 is left out."""
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\ufffd", "")
+
+
 def file_class(path: Column) -> Column:
     """tree for code, weed for data and prose, else other."""
     ext = extension(path)
@@ -54,9 +64,17 @@ def ignored(path: Column, patterns: list[str]) -> Column:
 
 
 def normalized_identifier(name: Column) -> Column:
-    """camelCase and kebab-case as snake_case."""
-    split = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")
-    return F.lower(F.regexp_replace(split, "[^A-Za-z0-9]+", "_"))
+    """camelCase, XMLParser and kebab-case as snake_case; other characters as they are."""
+    acronyms = F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1_$2")
+    split = F.regexp_replace(acronyms, "([a-z0-9])([A-Z])", "$1_$2")
+    return F.translate(F.lower(split), "-", "_")
+
+
+def module_paths(module: Column) -> Column:
+    """The paths that a module may have, likeliest first: the inverse of module_name()."""
+    base = F.replace(F.regexp_replace(module, r"\.py$", ""), F.lit("."), F.lit("/"))
+    ends = [".py", "/__init__.py", *(x for e in (".js", ".ts", ".java", ".go", ".c", ".h", ".cpp") for x in (e, f"/index{e}"))]
+    return F.array(*[F.concat(base, F.lit(e)) for e in ends])
 
 
 def identifier_tokens(name: Column) -> Column:

@@ -1,11 +1,17 @@
-"""The dependency graph as a table of edges, kept up to date by changes."""
+"""The dependency graph as a table of edges, kept up to date by changes.
+
+Cases: null fields of an edge take their defaults (ends and symbols: the empty text); repeated edges
+are one; null names match nothing; empty tables give no rows (stats: zeros); columns with other names
+are dropped, as are those that happen to be called like a result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import stable_id
+from ..functions.text import module_name, module_paths, stable_id
+from .rules import is_security_core
 
 KEY = ["source", "target", "symbol", "relation"]
 
@@ -51,16 +57,20 @@ def insert_absent(edges: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """file, change of two snapshots (file, fingerprint): added, modified, deleted or renamed
-    (then ``was`` is the old name). Of several deleted files with a fingerprint, the last name."""
-    both = before.select("file", F.col("fingerprint").alias("old")).join(after.select("file", F.col("fingerprint").alias("new")), "file", "full_outer")
+    """file, change of two snapshots (file, fingerprint): added, modified, deleted or renamed (then
+    ``was`` is the old name). Every deleted file whose fingerprint an added one has is renamed to
+    it, to the last by name of several. Empty and null fingerprints name no content."""
+    side = lambda df, name: df.select("file", F.coalesce("fingerprint", F.lit("")).alias(name))
+    both = side(before, "old").join(side(after, "new"), "file", "full_outer")
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").when(F.col("old") != F.col("new"), "modified")
     diff = both.withColumn("change", kind).where("change is not null")
-    gone = diff.where("change = 'deleted'").groupBy(F.col("old").alias("new")).agg(F.max("file").alias("was"))
-    out = diff.join(gone, "new", "left").withColumn("was", F.when(F.col("change") == "added", F.col("was")))
-    renamed = out.where("was is not null").select(F.col("was").alias("file")).distinct()
-    out = out.join(renamed.withColumn("moved", F.lit(True)), "file", "left").where("not (change = 'deleted' and moved is not null)")
-    return out.select("file", F.when(F.col("was").isNotNull(), "renamed").otherwise(F.col("change")).alias("change"), "was")
+    content = F.coalesce("old", "new")
+    # a row for each content that went and came: the added name that stands for it
+    met = diff.where("change != 'modified'").where(content != "").groupBy(content.alias("content")).agg(F.max(F.when(F.col("change") == "added", F.col("file"))).alias("now"), F.count_if(F.col("change") == "deleted").alias("gone"))
+    out = diff.join(met.where("now is not null and gone > 0"), (F.col("change") != "modified") & (content == F.col("content")), "left")
+    moved = F.col("now").isNotNull() & (F.col("change") == "deleted")
+    out = out.where(F.col("now").isNull() | (F.col("change") == "deleted") | (F.col("file") != F.col("now")))
+    return out.select(F.when(moved, F.col("now")).otherwise(F.col("file")).alias("file"), F.when(moved, "renamed").otherwise(F.col("change")).alias("change"), F.when(moved, F.col("file")).alias("was"))
 
 
 def apply_changes(edges: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -98,3 +108,74 @@ def unreferenced(definitions: DataFrame, *used: DataFrame) -> DataFrame:
     for u in used:
         definitions = definitions.join(u.select("name").distinct(), "name", "left_anti")
     return definitions
+
+
+def to_files(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges whose target, a module, is the path of a file (path) that has it, where there is one:
+    the module's own name first, else the likeliest path for it."""
+    have = files.select("path", module_name(F.col("path")).alias("module")).groupBy("module").agg(F.min("path").alias("path"))
+    found = edges.join(have, edges["target"] == have["module"], "left")
+    return found.withColumn("target", F.coalesce("path", "target")).drop("path", "module")
+
+
+def candidates(modules: DataFrame, files: DataFrame) -> DataFrame:
+    """module, path: the file of each module, by the order in which a module is looked for."""
+    tried = modules.select("module", F.posexplode(module_paths(F.col("module"))).alias("place", "path"))
+    return tried.join(files.select("path"), "path").groupBy("module").agg(F.min_by("path", "place").alias("path"))
+
+
+def referring(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """source of every edge to one of files (path), or to its module."""
+    ends = files.select(F.col("path").alias("target")).unionAll(files.select(module_name(F.col("path")).alias("target")))
+    return edges.join(ends.distinct(), "target", "left_semi").select("source").distinct()
+
+
+def call_graph(edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label) and edges (from, to, relation, symbol) of files: targets as files, one edge
+    for each pair and relation (the first symbol), ends that are no files left out."""
+    known = files.select("path")
+    e = to_files(edges, files).join(known.withColumnRenamed("path", "source"), "source", "left_semi").join(known.withColumnRenamed("path", "target"), "target", "left_semi")
+    e = e.where("source != target").groupBy(F.col("source").alias("from"), F.col("target").alias("to"), "relation").agg(F.min("symbol").alias("symbol"))
+    nodes = e.select(F.explode(F.array("from", "to")).alias("path")).distinct().select(stable_id("n_", "path").alias("id"), F.element_at(F.split("path", "/"), -1).alias("label"), "path")
+    return nodes, e
+
+
+def mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """text: one row with a flow chart of call_graph(), its lines in order."""
+    safe = lambda c: F.regexp_replace(c, r'[\[\](){}<>"|]', "_")
+    heads = nodes.select(F.lit(1).alias("part"), F.concat(F.lit("  "), "id", F.lit('["'), safe(F.col("label")), F.lit('"]')).alias("line"))
+    arrows = edges.select(F.lit(2).alias("part"), F.concat(F.lit("  "), stable_id("n_", "from"), F.lit(" -->|"), F.col("relation"), F.lit("| "), stable_id("n_", "to")).alias("line"))
+    return heads.unionAll(arrows).agg(F.concat_ws("\n", F.lit("flowchart LR"), F.transform(F.sort_array(F.collect_list(F.struct("part", "line"))), lambda x: x["line"])).alias("text"))
+
+
+def core(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """path, n_in, n_out, hub of a project's core: files that others refer to (or, without any, the
+    better half by outgoing edges), and those of security's own. hub: referred to by half the core's
+    number of files or more. Ranked by aggregates; no file's edges meet in one task."""
+    own = files.select("path").distinct()
+    ends = to_files(edges, files)
+    n_in = ends.where("source != target").groupBy(F.col("target").alias("path")).agg(F.countDistinct("source").alias("n_in"))
+    n_out = edges.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("n_out"))
+    d = own.join(n_in, "path", "left").join(n_out, "path", "left").na.fill(0, ["n_in", "n_out"])
+    counts = d.agg(F.count("*").alias("files"), F.count_if(F.col("n_in") > 0).alias("referred")).first()
+    if counts.referred:
+        chosen = F.col("n_in") > 0
+    else:
+        d = d.join(d.orderBy(F.desc("n_out"), "path").limit(max(1, counts.files // 2)).select("path").withColumn("best", F.lit(True)), "path", "left")
+        chosen = F.coalesce("best", F.lit(False))
+    chosen = d.where(chosen | is_security_core(F.col("path")))
+    least = max(1, chosen.count() // 2)
+    return chosen.select("path", "n_in", "n_out", (F.col("n_in") >= least).alias("hub"))
+
+
+def unused(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Definitions (path, fact, name, line) of facts that nothing calls, makes, inherits, exports,
+    registers or names in a string, with confidence: low in tests, high for private names, medium
+    for public ones. Entry points and special methods are always used."""
+    leaf = F.element_at(F.split("name", r"\.|::"), -1)
+    used = facts.where("fact in ('call', 'new', 'base', 'export', 'registered', 'string')").select(leaf.alias("name")).distinct()
+    entry = F.col("name").isin("main", "run", "start", "init", "setup") | F.col("name").rlike("^__.*__$")
+    dead = found.where("fact in ('function', 'class')").where(~(entry & (F.col("fact") == "function"))).join(used, "name", "left_anti")
+    test = F.col("path").rlike(r"(^|/)test_[^/]*$|_test\.py$|(^|/)tests?/")
+    public = F.when(F.col("fact") == "function", ~F.col("name").startswith("_")).otherwise(F.substring("name", 1, 1).rlike("[A-Z]"))
+    return dead.select("path", "fact", "name", "line", F.when(test, "low").when(public, "medium").otherwise("high").alias("confidence"))

@@ -1,4 +1,9 @@
-"""Feedback over outcomes: circuit breakers, confirmation by repetition, convergence."""
+"""Feedback over outcomes: circuit breakers, confirmation by repetition, convergence.
+
+Cases: a null outcome is an outcome that didn't fail; null keys are a key of their own; of equal order
+values either comes first; repeated rows are outcomes of their own; empty tables give no rows; other
+columns are kept by the breaker.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,15 @@ WINDOW, FAILURES = 3, 2
 def breaker(outcomes: DataFrame, key: str, order: str) -> DataFrame:
     """outcomes (key, order, failed) with tripped: FAILURES of the last WINDOW outcomes failed."""
     last = Window.partitionBy(key).orderBy(order).rowsBetween(-(WINDOW - 1), 0)
-    return outcomes.withColumn("tripped", F.sum(F.col("failed").cast("int")).over(last) >= FAILURES)
+    return outcomes.withColumn("tripped", F.sum(F.coalesce(F.col("failed"), F.lit(False)).cast("int")).over(last) >= FAILURES)
+
+
+def last_reasons(outcomes: DataFrame, key: str, order: str, most: int = 10) -> DataFrame:
+    """key, reasons: the last reasons (failed outcomes with one) of each key, the newest last. Only
+    ``most`` rows of a key are gathered."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    own = outcomes.where("failed and reason is not null").withColumn("__n", rank).where(F.col("__n") <= most)
+    return own.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "reason"))), lambda x: x["reason"]).alias("reasons"))
 
 
 def confirmed(reports: DataFrame, key: list[str], least: int = 2) -> DataFrame:

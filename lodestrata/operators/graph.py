@@ -1,8 +1,12 @@
 """Reachability, cycles, components and trees over edge tables.
 
-Loops run on the driver, over tables: each round is one equi-join of a frontier with the edges,
-and an anti-join with what is known. Rounds are bounded by a depth or by the graph's own; every
-few rounds the frontier is checkpointed, so that plans stay small.
+Loops run on the driver, over tables: each round is one equi-join of a frontier with the edges, and an
+anti-join with what is known. Rounds are bounded by a depth or by the graph's own. Frontiers are written
+to the shared folder each round, what is known every few rounds, so that plans stay small and survive
+lost executors.
+
+Cases: null ends join nothing; repeated edges and seeds count once; an edge from a node to itself is
+on no cycle and changes nothing; empty tables give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -10,10 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import module_name
+from ..session import shared_dir
+
+#: Rounds after which what is known is written.
+WRITE_EVERY = 4
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def impact(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
@@ -27,9 +37,44 @@ def impact(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        known = known if d % WRITE_EVERY else _cut(known)
     return known.where("depth > 0")
 
 
+def file_impact(edges: DataFrame, files: DataFrame, start: str, depth: int = 3, symbol: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files (path, depth), and functions (path, symbol, depth), that a change of file ``start``
+    reaches: imports name modules, calls and bases name files, and a file and its module are one
+    node. symbol: the first step goes only along calls of that name, and imports."""
+    spark = edges.sparkSession
+    module = files.select("path", module_name(F.col("path")).alias("module")).distinct()
+    # a module's edges are those of each file that it names
+    by_module = edges.where("relation = 'import'").join(module, edges["target"] == module["module"]).select("source", F.col("path").alias("target"), F.lit("").alias("symbol"))
+    by_file = edges.where("relation in ('call', 'inherit')").select("source", "target", F.coalesce("symbol", F.lit("")).alias("symbol"))
+    known = frontier = spark.createDataFrame([(start, 0)], "path string, depth int")
+    back, named = _cut(by_module.unionAll(by_file).where("source != target").distinct()), None
+    for d in range(1, depth + 1):
+        step = back.join(frontier.select(F.col("path").alias("target")), "target")
+        if symbol and d == 1:
+            step = step.where(F.col("symbol").isin(symbol, "") | F.col("symbol").endswith("." + symbol))
+        step = _cut(step.select(F.col("source").alias("path"), "symbol", F.lit(d).alias("depth")).distinct().join(known.select("path"), "path", "left_anti"))
+        frontier = step.select("path", "depth").distinct()
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+        own = step.where("symbol != ''").select("path", "symbol", "depth")
+        named = own if named is None else named.unionByName(own)
+    named = named if named is not None else known.select("path", F.lit("").alias("symbol"), "depth").limit(0)
+    return known.where("depth > 0").orderBy("depth", "path"), named.orderBy("depth", "path", "symbol")
+
+
+def import_cycles(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """node, component, size of modules on a cycle of imports, however long; relative imports and
+    sources that are no file have no part in it."""
+    module = files.select(F.col("path").alias("source"), module_name(F.col("path")).alias("module")).distinct()
+    e = edges.where("relation = 'import' and target != '' and target not like '.%'").join(module, "source").select(F.col("module").alias("source"), "target").distinct()
+    return components(e)
+
+
 def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     """length, cycle: simple cycles of at most ``longest`` nodes, each once, from its least node.
     Paths only go on through nodes greater than their first, which keeps each cycle to one path."""
@@ -47,10 +92,13 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """node: what edges reach from start, itself included."""
     known = frontier = start.select("node").distinct()
+    step = _cut(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("node != next").distinct())
+    rounds = 0
     while not frontier.isEmpty():
-        found = frontier.join(edges.select(F.col("source").alias("node"), F.col("target").alias("next")), "node").select(F.col("next").alias("node")).distinct()
+        found = frontier.join(step, "node").select(F.col("next").alias("node")).distinct()
         frontier = _cut(found.join(known, "node", "left_anti"))
-        known = known.unionAll(frontier)
+        known, rounds = known.unionAll(frontier), rounds + 1
+        known = known if rounds % WRITE_EVERY else _cut(known)
     return known
 
 
@@ -114,8 +162,9 @@ def ancestors(nodes: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def backtrack(nodes: DataFrame, at: DataFrame) -> DataFrame:
-    """The nearest ancestor of ``at`` with a child that is open or scored and not pruned."""
-    live = nodes.where("status in ('open', 'scored') and not pruned").select(F.col("parent").alias("id")).distinct()
+    """The nearest ancestor of ``at`` with a child that is open or scored, not pruned and not
+    ``at`` itself, which is dead from here on."""
+    live = nodes.where("status in ('open', 'scored') and not pruned").join(at.select("id"), "id", "left_anti").select(F.col("parent").alias("id")).distinct()
     return ancestors(nodes, at).join(live, "id", "left_semi").orderBy("up").limit(1)
 
 

@@ -1,72 +1,122 @@
 """Findings from a table of rules, and scores over findings.
 
-A rule is a regular expression with a literal that each of its matches contains. Rules become
-columns of one projection over lines: literal patterns compile once, the literal is tried first,
-and lines are read once for all rules.
+Rules become columns of one projection over lines: literal patterns compile once, a literal is tried
+before its pattern, and lines are read once for all rules. What stands beside a line comes with it
+from files.lines(around=...), so that neither context nor findings need a shuffle.
+
+Cases: null code and null files have no findings; lines of over LONGEST characters are looked at up to
+there; repeated lines of a file give one finding each line number and type; other columns are not
+looked at; an empty table gives no rows, a score of 0 and the best grade.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
+from .rulebook import FILE_RULES, RULES, FileRule, Rule
 
 #: Points by severity.
 SECURITY_POINTS = {"critical": 15, "high": 8, "medium": 3, "low": 1}
-OTHER_POINTS = {"critical": 12, "high": 12, "medium": 5, "low": 2}
+OTHER_POINTS = {"high": 12, "medium": 5, "low": 2}
 #: Fixed values: (least points, grade), worst first.
 SECURITY_GRADES = ((70, "F"), (50, "D"), (30, "C"), (10, "B"), (0, "A"))
 PERFORMANCE_GRADES = ((60, "D"), (35, "C"), (15, "B"), (0, "A"))
 LOGIC_GRADES = ((50, "D"), (30, "C"), (10, "B"), (0, "A"))
+#: Fixed value: characters of a line that rules look at.
+LONGEST = 32768
+#: String contents, which rules on bare code don't see.
+LITERAL = r"\"(\\.|[^\"\\])*\"|'(\\.|[^'\\])*'"
+COMMENT = r"^\s*(#|//|/\*|\*)"
+
+
+def language(path: Column) -> Column:
+    """The rule language of a path: py, js, html, java, c, php, go, rust, kotlin, env, requirements."""
+    name = F.element_at(F.split(path, "/"), -1)
+    out = F.when(name == ".env", "env").when(name.isin("requirements.txt", "Pipfile"), "requirements").when(path.rlike(r"\.min\.(js|ts)$"), None)
+    families = {"py": ("py",), "js": ("js", "jsx", "ts", "tsx", "mjs"), "html": ("html", "htm", "vue"), "java": ("java",), "c": ("c", "h", "cpp"), "php": ("php",), "go": ("go",), "rust": ("rs",), "kotlin": ("kt",)}
+    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    for family, extensions in families.items():
+        out = out.when(ext.isin(*extensions), family)
+    return out
 
 
-@dataclass(frozen=True)
-class Rule:
-    """literal: in every match, in lower case; guard: lines that it fits are exempt."""
-
-    type: str
-    severity: str
-    pattern: str
-    literal: str = ""
-    guard: str = ""
-    extensions: tuple[str, ...] = ()
+def fits(r: Rule, columns: list[str]) -> Column:
+    out = F.col("__bare" if r.on == "bare" else "__code").rlike(r.pattern)
+    if r.also:
+        out = out & F.col("__code").rlike(r.also)
+    if r.guard:
+        out = out & ~F.col("__bare" if r.on == "bare" else "__code").rlike(r.guard)
+    if r.near:
+        out = out & F.col("around" if "around" in columns else "__code").rlike(r.near)
+    if r.literal:
+        out = F.col("__low").contains(r.literal) & out
+    if r.languages and "language" in columns:
+        out = F.col("language").isin(*r.languages) & out
+    return out
 
 
-RULES = [
-    Rule("hardcoded-secret", "critical", r"(?i)\b(password|passwd|secret|api_key|token)\s*=\s*[\"'][^\"']{6,}[\"']", "=", r"(?i)(example|changeme|placeholder|your_)"),
-    Rule("dynamic-exec", "high", r"(^|[^\w.])(eval|exec)\s*\(", "("),
-    Rule("command-injection", "critical", r"os\.system\s*\(|subprocess\.\w+\([^)]*shell\s*=\s*True", "s"),
-    Rule("unsafe-deserialisation", "high", r"(pickle|marshal)\.loads?\s*\(|yaml\.load\s*\(", "load", r"SafeLoader"),
-    Rule("sql-injection", "critical", r"(?i)execute\s*\(\s*(f[\"']|[\"'][^\"']*[\"']\s*(%|\+)|.*\.format\()", "execute"),
-    Rule("weak-hash", "medium", r"(?i)\b(md5|sha1)\s*\(", "("),
-    Rule("insecure-random", "low", r"\brandom\.(random|randint|choice)\s*\(", "random"),
-    Rule("debug-mode", "medium", r"(?i)debug\s*=\s*true", "debug"),
-    Rule("xss", "high", r"\.innerHTML\s*=|document\.write\s*\(", "", "", (".js", ".ts", ".html")),
-    Rule("unsafe-c-copy", "high", r"(^|[^\w])(gets|strcpy|strcat|sprintf)\s*\(", "(", "", (".c", ".h", ".cpp")),
-    Rule("unverified-tls", "high", r"verify\s*=\s*False", "verify"),
-    Rule("temp-file", "low", r"tempfile\.mktemp\s*\(", "mktemp"),
-]
+def of_any_file(rules: list[Rule]) -> list[Rule]:
+    """Rules that say something of text whose language isn't known."""
+    return [r for r in rules if not r.languages or not {"env", "requirements"}.issuperset(r.languages)]
 
 
 def findings(lines: DataFrame, rules: list[Rule] | None = None, file: str = "file") -> DataFrame:
-    """file, line, type, severity, code: one finding for each file, line and type. Comment lines
-    are skipped; lines (file, line, code) may have an extension column for rules that ask for it."""
-    hits = []
-    for r in rules or RULES:
-        fits = F.col("code").rlike(r.pattern)
-        if r.literal:
-            fits = F.lower("code").contains(r.literal) & fits
-        if r.guard:
-            fits = fits & ~F.col("code").rlike(r.guard)
-        if r.extensions and "extension" in lines.columns:
-            fits = fits & F.col("extension").isin(*r.extensions)
-        hits.append(F.when(fits, F.struct(F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"))))
-    code = lines.where(~F.col("code").rlike(r"^\s*(#|//|\*)"))
-    out = code.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
-    return out.select(file, "line", "hit.type", "hit.severity", snippet(F.trim("code")).alias("code")).dropDuplicates([file, "line", "type"])
+    """file, line, type, severity, code: one finding for each file, line and type. Comment lines and
+    lines of rule tables are skipped. lines: file, line, code; with a language column rules apply
+    to their own languages only (without one all do but those for special files), with an around column (neighbouring lines) near patterns see it,
+    with a quoted column lines within strings that stand alone are skipped."""
+    rules = rules or RULES
+    rules = rules if "language" in lines.columns else of_any_file(rules)
+    hits = [F.when(fits(r, lines.columns), F.struct(F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"))) for r in rules]
+    code = lines.where(~F.col("quoted")) if "quoted" in lines.columns else lines
+    code = code.withColumn("__code", F.substring("code", 1, LONGEST))
+    code = code.where(~F.col("__code").rlike(COMMENT) & ~F.col("__code").rlike(r"[\"']pattern[\"']\s*:\s*[rR]?[\"']"))
+    code = code.withColumn("__bare", F.regexp_replace("__code", LITERAL, '""')).withColumn("__low", F.lower("__code"))
+    # a line's findings are in one row: of two rules of a type, the first
+    first = F.aggregate(F.filter(F.array(*hits), lambda h: h.isNotNull()), F.array().cast("array<struct<type:string,severity:string>>"), lambda a, h: F.when(F.exists(a, lambda x: x["type"] == h["type"]), a).otherwise(F.array_append(a, h)))
+    out = code.select(file, "line", F.explode(first).alias("hit"), snippet(F.trim("code")).alias("code"))
+    return out.select(file, "line", "hit.type", "hit.severity", "code")
+
+
+def file_findings(lines: DataFrame, rules: list[FileRule] | None = None, file: str = "file") -> DataFrame:
+    """file, line, type, severity of file rules: one pass over lines, one group a file, map-side
+    combined, so a file of any length is a few numbers when it is shuffled."""
+    code = lines.where(~F.col("code").rlike(COMMENT))
+    aggs, out = [], []
+    for k, r in enumerate(rules or FILE_RULES):
+        own = F.col("language").isin(*r.languages) if "language" in lines.columns else F.lit(True)
+        aggs += [
+            F.min(F.when(own & F.col("code").rlike(r.present), F.col("line"))).alias(f"at{k}"),
+            F.max(F.col("code").rlike(r.also).cast("int") if r.also else F.lit(1)).alias(f"also{k}"),
+            F.max(F.col("code").rlike(r.absent).cast("int") if r.absent else F.lit(0)).alias(f"absent{k}"),
+        ]
+        out.append(F.when(F.col(f"at{k}").isNotNull() & (F.col(f"also{k}") == 1) & (F.col(f"absent{k}") == 0), F.struct(F.col(f"at{k}").alias("line"), F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"))))
+    got = code.groupBy(file).agg(*aggs).select(file, F.explode(F.filter(F.array(*out), lambda h: h.isNotNull())).alias("hit"))
+    return got.select(file, "hit.line", "hit.type", "hit.severity")
+
+
+def deduplicated(found: DataFrame, file: str = "file", evidence: str = "evidence") -> DataFrame:
+    """One finding for each file, line and type: the one with evidence from other files first."""
+    best = Window.partitionBy(file, "line", "type").orderBy(F.desc_nulls_last(evidence), "severity", "code")
+    return found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+
+
+def is_test(path: Column) -> Column:
+    """Whether findings of a path are of tests."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return name.contains("test_") | name.startswith("test") | name.contains("_test") | name.contains(".test.") | F.concat(F.lit("/"), path).contains("/tests/")
+
+
+#: What names and folders of security's own files start with or have in them.
+SECURITY_CORE = ("guard", "shell", "security", "auth", "token", "crypto", "secret", "ssl", "tls", "exec", "bridge", "proxy")
+
+
+def is_security_core(path: Column) -> Column:
+    """A hint in the file's name, or at the start of a folder's."""
+    low = F.concat(F.lit("/"), F.lower(path))
+    return F.element_at(F.split(low, "/"), -1).rlike("|".join(SECURITY_CORE)) | low.rlike("/(" + "|".join(SECURITY_CORE) + ")")
 
 
 def near_lines(lines: DataFrame, pattern: str, beside: str, reach: int = 1, file: str = "file") -> DataFrame:
@@ -105,3 +155,56 @@ def risk(found: DataFrame, table=SECURITY_POINTS, grades=SECURITY_GRADES, by: li
 def recurring_types(found: DataFrame, file: str = "file", least: int = 2) -> DataFrame:
     """type, files: types found in at least ``least`` files."""
     return found.groupBy("type").agg(F.countDistinct(file).alias("files")).where(F.col("files") >= least)
+
+
+def scoped(found: DataFrame, file: str = "file") -> DataFrame:
+    """scope (core, test), severity, findings."""
+    return found.groupBy(F.when(is_test(F.col(file)), "test").otherwise("core").alias("scope"), "severity").agg(F.count("*").alias("findings"))
+
+
+def ordered(found: DataFrame, most: int, file: str = "file") -> DataFrame:
+    """The first ``most`` findings of each severity, by severity, file and line, with their rank: a
+    report's order and its display cap."""
+    order = F.create_map(*[F.lit(x) for k, s in enumerate(SECURITY_POINTS) for x in (s, k)])[F.col("severity")]
+    w = Window.partitionBy("severity").orderBy(file, "line", "type")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).withColumn("__order", order).orderBy("__order", "rank").drop("__order")
+
+
+def worst_file(found: DataFrame, file: str = "file") -> DataFrame:
+    """file, findings: the file with the most, the first by name of equals."""
+    return found.groupBy(file).agg(F.count("*").alias("findings")).orderBy(F.desc("findings"), file).limit(1)
+
+
+#: What to do, by type.
+ADVICE = {
+    "sql-injection": "bind parameters", "command-injection": "pass argument lists without a shell", "command-execution": "check commands against an allow-list", "path-traversal": "resolve paths and keep them below a folder",
+    "unsafe-deserialisation": "read a data format instead", "dynamic-exec": "replace evaluated text by a table of functions", "hardcoded-secret": "read secrets from the environment", "weak-hash": "use a password hash",
+    "weak-crypto": "use an authenticated cipher", "xss": "escape what is shown", "ssrf": "check hosts against an allow-list", "buffer-overflow": "use functions with a size",
+}
+
+
+def suggestions(found: DataFrame) -> DataFrame:
+    """type, findings, advice of the types that have some, most findings first."""
+    advice = F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv])[F.col("type")]
+    return found.groupBy("type").agg(F.count("*").alias("findings")).withColumn("advice", F.coalesce(advice, F.lit("look at each"))).orderBy(F.desc("findings"), "type")
+
+
+def sql(rules: list[Rule], lines: str, file: str = "file") -> str:
+    """The same findings in DuckDB's SQL: a table of file, line, type, severity, code over a table
+    (or subquery) of file, line, code, and around where rules ask for it, without languages."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    cases = []
+    rules = of_any_file(rules)
+    for r in rules:
+        on = "b" if r.on == "bare" else "c"
+        parts = [f"contains(lower(c), {q(r.literal)})"] if r.literal else []
+        parts += [f"regexp_matches({on}, {q(r.pattern)})"] + ([f"regexp_matches(c, {q(r.also)})"] if r.also else [])
+        parts += ([f"NOT regexp_matches({on}, {q(r.guard)})"] if r.guard else []) + ([f"regexp_matches(around, {q(r.near)})"] if r.near else [])
+        cases.append(f"CASE WHEN {' AND '.join(parts)} THEN {{'type': {q(r.type)}, 'severity': {q(r.severity)}}} END")
+    around = "around" if any(r.near for r in rules) else "'' AS around"
+    return f"""
+      SELECT {file}, line, h.type AS type, h.severity AS severity, substr(trim(c), 1, 100) AS code FROM (
+        SELECT {file}, line, c, unnest(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)) AS h, generate_subscripts(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL), 1) AS k
+        FROM (SELECT {file}, line, code AS c, {around}, regexp_replace(code, {q(LITERAL)}, '""', 'g') AS b FROM {lines}
+              WHERE NOT regexp_matches(code, {q(COMMENT)}) AND NOT regexp_matches(code, {q(r"[\"']pattern[\"']\s*:\s*[rR]?[\"']")})))
+      QUALIFY row_number() OVER (PARTITION BY {file}, line, h.type ORDER BY k) = 1"""

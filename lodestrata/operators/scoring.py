@@ -1,4 +1,9 @@
-"""Complexity, debt and grades."""
+"""Complexity, debt, grades, profiles and coverage.
+
+Cases: null measures give null scores, which aggregates leave out; empty tables give no rows, or one
+with counts of 0 where all rows are aggregated; repeated rows count each time; of equal order values a
+trend takes either first; other columns are not looked at.
+"""
 
 from __future__ import annotations
 
@@ -35,7 +40,8 @@ def composite(dims: DataFrame, by: list[str]) -> DataFrame:
 
 
 def trend(scores: DataFrame, order: str, by: list[str] | None = None, least: float = 0.5) -> DataFrame:
-    """scores with the score before and up, down, same (a change under least) or new."""
+    """scores with the score before and up, down, same (a change under least) or new. scores are
+    aggregated already: without ``by``, all of them are one series, in one task."""
     before = F.lag("score").over(Window.partitionBy(*(by or [])).orderBy(order))
     change = F.col("score") - F.col("before")
     return scores.withColumn("before", before).withColumn("trend", F.when(F.col("before").isNull(), "new").when(change >= least, "up").when(change <= -least, "down").otherwise("same"))
@@ -46,16 +52,48 @@ def debt_hours(found: DataFrame, by: list[str]) -> DataFrame:
     return found.groupBy(*by).agg(F.sum(hours).alias("hours"))
 
 
+#: Words of layers, the first layer that one of them names wins.
+LAYERS = {
+    "presentation": "ui view controller handler page screen widget component frontend client web api".split(),
+    "business": "service manager business logic core domain usecase use_case processor".split(),
+    "data": "model repository dao database db storage entity schema mapper persistence".split(),
+    "util": "util utils helper helpers common base tool tools lib library".split(),
+}
+
+
 def layers(path) -> F.Column:
-    """Architecture layer of a path; earlier rules win. Words by layer."""
-    low = F.lower(path)
-    return (
-        F.when(low.rlike("controller|view|route|handler|page|api"), "presentation")
-        .when(low.rlike("service|manager|usecase|business"), "business")
-        .when(low.rlike("model|entity|repository|dao|schema"), "data")
-        .when(low.rlike("util|helper|common|lib"), "util")
-        .otherwise("unknown")
-    )
+    """Architecture layer of a path (below a project's root): by words in its folder or in its name
+    without the extension."""
+    where = F.regexp_replace(F.lower(path), r"\.[^./]*$", "")
+    out = F.lit("unknown")
+    for layer, words in reversed(LAYERS.items()):
+        out = F.when(where.rlike("|".join(words)), layer).otherwise(out)
+    return out
+
+
+def clear_layers(files: DataFrame) -> DataFrame:
+    """layers, clear of files (path): three layers or more (unknown counts), under half unknown."""
+    got = files.agg(F.countDistinct(layers(F.col("path"))).alias("layers"), F.count_if(layers(F.col("path")) == "unknown").alias("unknown"), F.count("*").alias("files"))
+    return got.select("layers", ((F.col("layers") >= 3) & (F.col("unknown") < 0.5 * F.col("files"))).alias("clear"))
+
+
+def smell_health(points, lines) -> F.Column:
+    """100 less four times the points of smells (high 8, medium 3, low 1) by thousand lines."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - points / F.greatest(lines / 1000, F.lit(0.1)) * 4))
+
+
+def structure_health(clear, n_layers) -> F.Column:
+    return F.when(clear, F.least(F.lit(100.0), 90.0 + 2 * n_layers)).otherwise(85.0)
+
+
+def savings(brief_size, full_size) -> F.Column:
+    """The share that reading a brief saves; negative where the brief is longer."""
+    return 1 - brief_size / full_size
+
+
+def dead_ratio(definitions: DataFrame) -> DataFrame:
+    """ratio: definitions that are dead with high confidence, of all (confidence null: alive)."""
+    return definitions.agg((F.count_if(F.col("confidence") == "high") / F.greatest(F.count("*"), F.lit(1))).alias("ratio"))
 
 
 def profile(calls: DataFrame) -> DataFrame:
@@ -66,7 +104,30 @@ def profile(calls: DataFrame) -> DataFrame:
     return own.groupBy("func").agg(F.count("*").alias("calls"), F.sum("seconds").alias("total"), F.sum("own").alias("self"), F.avg("seconds").alias("avg"), F.min("seconds").alias("min"), F.max("seconds").alias("max"))
 
 
+def hot_spots(calls: DataFrame, k: int = 10) -> DataFrame:
+    """The k functions of profile() with the most time of their own."""
+    return profile(calls).orderBy(F.desc("self"), "func").limit(k)
+
+
+def uncovered(total: DataFrame, executed: DataFrame) -> DataFrame:
+    """file, missing: the lines of total (file, line) that executed doesn't have, in order."""
+    return total.join(executed, ["file", "line"], "left_anti").groupBy("file").agg(F.sort_array(F.collect_set("line")).alias("missing"))
+
+
+def overall_coverage(total: DataFrame, executed: DataFrame) -> DataFrame:
+    """covered, lines, ratio of all files together, by lines."""
+    return coverage(total, executed).agg(F.sum("covered").alias("covered"), F.sum("lines").alias("lines")).withColumn("ratio", F.col("covered") / F.col("lines"))
+
+
+def call_summary(spans: DataFrame) -> DataFrame:
+    """func, calls, depth (its greatest) of call rows (func, event call or return, seq): open calls
+    before each, a running sum in order."""
+    step = F.when(F.col("event") == "call", 1).otherwise(-1)
+    depth = F.sum(step).over(Window.partitionBy("thread").orderBy("seq"))
+    return spans.withColumn("depth", depth).where("event = 'call'").groupBy("func").agg(F.count("*").alias("calls"), F.max("depth").alias("depth"))
+
+
 def coverage(total: DataFrame, executed: DataFrame) -> DataFrame:
-    """file, lines, covered, ratio of two tables (file, line)."""
-    hit = total.join(executed.select("file", "line").distinct().withColumn("hit", F.lit(1)), ["file", "line"], "left")
+    """file, lines, covered, ratio of two tables (file, line), each line once."""
+    hit = total.select("file", "line").distinct().join(executed.select("file", "line").distinct().withColumn("hit", F.lit(1)), ["file", "line"], "left")
     return hit.groupBy("file").agg(F.count("*").alias("lines"), F.count("hit").alias("covered")).withColumn("ratio", F.col("covered") / F.col("lines"))

@@ -1,14 +1,21 @@
-"""Tree search over a table of nodes: id, parent, depth, seq, status, pruned, total, text."""
+"""Tree search over a table of nodes: id, parent, depth, seq, status, pruned, total, text.
+
+Cases: null texts count as empty, and are like nothing; null scores come last; of equal scores the
+lower seq comes first; repeated rows are nodes of their own; empty tables give no rows (a stored state:
+a fresh root); other columns are kept where nodes are returned.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, ngrams
+from ..sources.store import replace
 from .graph import _cut, subtree
 
 #: Weights of a node's scores.
@@ -27,9 +34,73 @@ def select(nodes: DataFrame, strategy: str = "beam") -> DataFrame:
 
 
 def beam(nodes: DataFrame, width: int) -> DataFrame:
-    """nodes with cut: whether more than ``width`` siblings come before it by score."""
-    best = Window.partitionBy("parent").orderBy(F.desc_nulls_last("total"), "seq")
-    return nodes.withColumn("cut", F.row_number().over(best) > width)
+    """nodes with cut: whether ``width`` siblings or more come before it by score. Pruned nodes and
+    children of dead ends take no place and aren't cut."""
+    dead = nodes.where("status = 'dead_end'").select(F.col("id").alias("parent")).withColumn("__dead", F.lit(True))
+    out = nodes.join(dead, "parent", "left").withColumn("__in", ~F.col("pruned") & F.col("__dead").isNull())
+    best = Window.partitionBy("parent", "__in").orderBy(F.desc_nulls_last("total"), "seq")
+    return out.withColumn("cut", F.col("__in") & (F.row_number().over(best) > width)).select(*nodes.columns, "cut")
+
+
+def dead(nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """nodes with status dead_end for start (id) and all below it."""
+    gone = subtree(nodes, start).withColumn("__gone", F.lit(True))
+    return nodes.join(gone, "id", "left").withColumn("status", F.when(F.col("__gone"), "dead_end").otherwise(F.col("status"))).drop("__gone")
+
+
+def converged(newer: DataFrame, older: DataFrame, least: float = 0.9, by: str | None = None) -> DataFrame:
+    """overlap() with converged: a share of least or more; null where a layer is missing."""
+    return overlap(newer, older, by=by).withColumn("converged", F.col("overlap") >= least)
+
+
+def mixed_similarity(a, b) -> F.Column:
+    """The greater of the Jaccard similarity of 3-grams and the Ochiai coefficient of 2-grams."""
+    clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    x, y = ngrams(clean(a), 2), ngrams(clean(b), 2)
+    shared = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda n, g: n + F.least(F.size(F.filter(x, lambda v: v == g)), F.size(F.filter(y, lambda v: v == g))))
+    both = F.when((F.size(x) > 0) & (F.size(y) > 0), shared / F.sqrt(F.size(x) * F.size(y))).otherwise(0.0)
+    return F.greatest(jaccard(F.array_distinct(ngrams(clean(a))), F.array_distinct(ngrams(clean(b)))), both)
+
+
+#: The fields of a stored node and what they are without a value.
+STATE = "id long, parent long, depth int, seq long, status string, pruned boolean, total double, text string"
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """The stored nodes of a search, or those of a fresh one, a root, where there are none that
+    can be read."""
+    try:
+        got = spark.read.schema(STATE).option("mode", "DROPMALFORMED").json(path)
+        if not got.isEmpty():
+            return got
+    except AnalysisException:
+        pass
+    return spark.createDataFrame([(0, None, 0, 0, "open", False, None, "")], STATE)
+
+
+def save_state(nodes: DataFrame, path: str) -> None:
+    """Written beside and then put in place, so that a reader sees one state or the other."""
+    replace(nodes.select(*[f.split()[0] for f in STATE.split(", ")]), path, "json")
+
+
+def render(nodes: DataFrame) -> DataFrame:
+    """text: one row with the tree, a line a node, children below and right of their parent in
+    order of seq, with a mark for the status and the score. Order comes from paths of padded seqs."""
+    places = paths(nodes)
+    mark = F.create_map(*[F.lit(x) for kv in {"open": "o", "expanded": "+", "scored": "*", "dead_end": "x"}.items() for x in kv])
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.when(F.col("pruned"), "-").otherwise(F.coalesce(mark[F.col("status")], F.lit("?"))), F.lit(" "), F.coalesce(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60), F.lit("")), F.coalesce(F.concat(F.lit(" ["), F.col("total").cast("string"), F.lit("]")), F.lit("")))
+    rows = nodes.join(places, "id").select(F.struct("path", line.alias("line")).alias("r"))
+    return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["line"]), "\n").alias("text"))
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """id, path: the seqs from the root, padded, so that paths sort as a walk through the tree.
+    Pointer jumping: every round doubles how far up a path reaches."""
+    at = nodes.select("id", F.col("parent").alias("up"), F.lpad(F.col("seq").cast("string"), 12, "0").alias("path"))
+    while not at.where("up is not null").isEmpty():
+        higher = at.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("path").alias("before"))
+        at = _cut(at.join(higher, "up", "left").select("id", F.col("further").alias("up"), F.concat_ws("/", "before", "path").alias("path")))
+    return at.select("id", "path")
 
 
 def prune(nodes: DataFrame, width: int) -> DataFrame:
@@ -40,11 +111,18 @@ def prune(nodes: DataFrame, width: int) -> DataFrame:
 
 def overlap(newer: DataFrame, older: DataFrame, least: float = 0.4, by: str | None = None) -> DataFrame:
     """The share of newer texts (id, text) like some older one: Jaccard of 3-grams above least.
-    Candidates share a 3-gram: an equi-join on grams."""
+    Candidates share one of their rarest 3-grams: an equi-join that frequent grams stay out of."""
     on = [by] if by else []
-    g = lambda t, s: t.select(*on, F.col("id").alias(f"id{s}"), F.array_distinct(ngrams(F.regexp_replace("text", r"\s+", " "))).alias(f"g{s}"))
+    g = lambda t, s: t.select(*on, F.col("id").alias(f"id{s}"), F.array_distinct(ngrams(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))).alias(f"g{s}"))
     a, b = g(newer, "a"), g(older, "b")
-    pairs = a.withColumn("gram", F.explode("ga")).select(*on, "ida", "gram").join(b.withColumn("gram", F.explode("gb")).select(*on, "idb", "gram"), [*on, "gram"]).select(*on, "ida", "idb").distinct()
+    every = a.select(*on, F.col("ga").alias("g")).unionAll(b.select(*on, F.col("gb").alias("g"))).select(*on, F.explode("g").alias("gram")).groupBy(*on, "gram").agg(F.count("*").alias("df"))
+    # of sets this similar, each has a shared gram among its rarest (prefix filter, exact)
+    def rare(t, s):
+        posted = t.select(*on, f"id{s}", F.size(f"g{s}").alias("n"), F.explode(f"g{s}").alias("gram")).join(every, [*on, "gram"])
+        place = F.row_number().over(Window.partitionBy(*on, f"id{s}").orderBy("df", "gram"))
+        return posted.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select(*on, f"id{s}", "gram")
+
+    pairs = rare(a, "a").join(rare(b, "b"), [*on, "gram"]).select(*on, "ida", "idb").distinct()
     like = pairs.join(a, [*on, "ida"]).join(b, [*on, "idb"]).where(jaccard(F.col("ga"), F.col("gb")) > least).select(*on, "ida").distinct()
     return a.select(*on, "ida").join(like.withColumn("like", F.lit(1)), [*on, "ida"], "left").groupBy(*on).agg(F.count("*").alias("nodes"), F.count("like").alias("alike")).withColumn("overlap", F.col("alike") / F.col("nodes"))
 
@@ -52,7 +130,7 @@ def overlap(newer: DataFrame, older: DataFrame, least: float = 0.4, by: str | No
 def _profile(s: str) -> tuple[set, Counter, int]:
     """A text's 3-grams, its 2-grams with their counts, and how many 2-grams it has."""
     grams = lambda n: [s[i : i + n] for i in range(len(s) - n + 1)]
-    s = " ".join(s.lower().split())
+    s = " ".join((s or "").lower().split())
     return set(grams(3)), Counter(grams(2)), max(0, len(s) - 1)
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import edges as E
-from ..operators import extract, feedback, graph, rules, scoring, similarity, treesearch
-from ..sources import files
+from ..operators import dynamic, extract, feedback, graph, review, rules, scoring, similarity, treesearch
+from ..sources import files, store
 from ..streaming import feeds
 
 QUERIES: dict = {}
@@ -48,11 +46,6 @@ def link_edges(spark, d):
     return link_table(spark, d).select("source", "target", "symbol", "relation", "id")
 
 
-@query(f"WITH {LINKS} SELECT count(*) AS total, count(*) AS strong, 0::BIGINT AS weak, 0::BIGINT AS deep FROM e")
-def edge_stats(spark, d):
-    return E.stats(link_table(spark, d))
-
-
 @query(f"WITH {LINKS} SELECT relation, count(*) AS n FROM e GROUP BY relation")
 def edges_by_relation(spark, d):
     return link_table(spark, d).groupBy("relation").agg(F.count("*").alias("n"))
@@ -117,42 +110,12 @@ def scc_members(spark, d):
     return graph.components(steps(spark, d))
 
 
-@query(f"WITH {LINKS}, hub AS (SELECT node FROM (SELECT source AS node, 0 AS i FROM e UNION ALL SELECT target, 1 FROM e) GROUP BY node ORDER BY sum(i) DESC, count(*) - sum(i) DESC, node LIMIT 10) SELECT DISTINCT source, target FROM e WHERE source IN (SELECT node FROM hub) AND target IN (SELECT node FROM hub) AND source <> target")
-def bridges(spark, d):
-    e = link_table(spark, d)
-    return graph.bridges(e, E.hubs(e))
-
-
 @query(r"""SELECT page_id, (i - 1)::INT AS script, s[i] AS code FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1) AS s FROM pages), unnest(range(1, len(s) + 1)) t(i) WHERE trim(s[i]) <> ''""")
 def inline_scripts(spark, d):
     return files.inline_scripts(table(spark, d, "pages"))
 
 
 LINES = "x AS (SELECT doc_id, i AS line, s[i] AS code FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) t(i))"
-SECRET = r"""(?i)\b(password|passwd|secret|api_key|token)\s*=\s*["''][^"'']{6,}["'']"""
-
-
-@query(rf"""WITH {LINES} SELECT doc_id, line::INT AS line, 'hardcoded-secret' AS type, 'critical' AS severity, substr(trim(code), 1, 100) AS code FROM x
-  WHERE contains(code, '=') AND regexp_matches(code, '{SECRET}') AND NOT regexp_matches(code, '(?i)(example|changeme|placeholder|your_)') AND NOT regexp_matches(code, '^\s*(#|//|\*)')""")
-def secret_findings(spark, d):
-    return rules.findings(files.lines(table(spark, d, "documents"), "doc_id"), rules.RULES[:1], "doc_id")
-
-
-@query(rf"""WITH {LINES}, f AS (SELECT doc_id FROM x WHERE contains(code, '=') AND regexp_matches(code, '{SECRET}') AND NOT regexp_matches(code, '(?i)(example|changeme|placeholder|your_)') AND NOT regexp_matches(code, '^\s*(#|//|\*)')),
-  s AS (SELECT source, least(100, 15 * count(*))::BIGINT AS score, count(*) AS critical FROM f JOIN documents USING (doc_id) GROUP BY source)
-  SELECT source, score, critical, 0::BIGINT AS high, 0::BIGINT AS medium, 0::BIGINT AS low, CASE WHEN score >= 70 THEN 'F' WHEN score >= 50 THEN 'D' WHEN score >= 30 THEN 'C' WHEN score >= 10 THEN 'B' ELSE 'A' END AS grade FROM s""")
-def severity_score(spark, d):
-    docs = table(spark, d, "documents")
-    found = rules.findings(files.lines(docs, "doc_id"), rules.RULES[:1], "doc_id")
-    return rules.risk(found.join(docs.select("doc_id", "source"), "doc_id"), by=["source"])
-
-
-@query(rf"""WITH {LINES}, f AS (SELECT DISTINCT source, 'hardcoded-secret' AS type FROM x JOIN documents USING (doc_id) WHERE contains(code, '=') AND regexp_matches(code, '{SECRET}') AND NOT regexp_matches(code, '(?i)(example|changeme|placeholder|your_)') AND NOT regexp_matches(code, '^\s*(#|//|\*)'))
-  SELECT type, count(*) AS files FROM f GROUP BY type HAVING count(*) >= 2""")
-def cross_file_types(spark, d):
-    docs = table(spark, d, "documents")
-    found = rules.findings(files.lines(docs, "doc_id"), rules.RULES[:1], "doc_id")
-    return rules.recurring_types(found.join(docs.select("doc_id", "source"), "doc_id"), "source")
 
 
 @query(f"WITH {LINES} SELECT doc_id, line::INT AS line, code FROM (SELECT *, max(regexp_matches(code, '[0-9]{{4}}')::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS b FROM x) WHERE regexp_matches(code, '@') AND b = 1")
@@ -165,87 +128,45 @@ def file_level_rule(spark, d):
     return rules.files_with_and_without(files.lines(table(spark, d, "documents"), "doc_id"), "[Ll]icense", "Version", "doc_id")
 
 
-@query("""SELECT CASE WHEN regexp_matches(lower(url), 'controller|view|route|handler|page|api') THEN 'presentation' WHEN regexp_matches(lower(url), 'service|manager|usecase|business') THEN 'business'
-  WHEN regexp_matches(lower(url), 'model|entity|repository|dao|schema') THEN 'data' WHEN regexp_matches(lower(url), 'util|helper|common|lib') THEN 'util' ELSE 'unknown' END AS layer, count(*) AS n FROM pages GROUP BY 1""")
-def layer_classify(spark, d):
-    return table(spark, d, "pages").groupBy(scoring.layers(F.col("url")).alias("layer")).agg(F.count("*").alias("n"))
-
-
-@query(r"""SELECT p_partkey, list_filter(string_split(lower(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_'), lambda t: t <> '') AS tokens FROM part""")
-def identifier_tokens(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.identifier_tokens(F.col("p_name")).alias("tokens"))
-
-
 @query("SELECT p_partkey, len(g)::INT AS n_grams, len(list_distinct(g))::INT AS n_distinct FROM (SELECT p_partkey, list_transform(range(1, greatest(1, length(p_name) - 1)), lambda i: lower(p_name)[i:i + 2]) AS g FROM part)")
 def ngram_profile(spark, d):
     g = T.ngrams(F.col("p_name"))
     return table(spark, d, "part").select("p_partkey", F.size(g).alias("n_grams"), F.size(F.array_distinct(g)).alias("n_distinct"))
 
 
-@query("""WITH g AS (SELECT p_partkey AS k, p_brand AS b, lower(p_name)[i:i + 2] AS gram, count(*) AS c FROM part, unnest(range(1, length(p_name) - 1)) t(i) WHERE p_size = 1 GROUP BY ALL), s AS (SELECT k, sum(c) AS n FROM g GROUP BY k)
-  SELECT x.k AS a, y.k AS b, round(sum(least(x.c, y.c)) / sqrt(any_value(p.n) * any_value(q.n)), 6) AS similarity FROM g x JOIN g y ON x.b = y.b AND x.gram = y.gram AND x.k < y.k JOIN s p ON p.k = x.k JOIN s q ON q.k = y.k GROUP BY ALL""")
-def ochiai_pairs(spark, d):
-    g = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("key"), "p_brand", F.explode(T.ngrams(F.col("p_name"))).alias("gram"))
-    return similarity.ochiai(g, g, "p_brand").where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
 NAMES = """k AS (SELECT p_partkey AS k, p_brand AS b, lower(p_name) AS name, min(p_partkey) OVER (PARTITION BY p_brand, lower(p_name)) AS first FROM part)"""
 
 
 @query(f"""WITH {NAMES}, g AS (SELECT k, b, name[i:i + 2] AS gram, count(*) AS c FROM k, unnest(range(1, length(name) - 1)) t(i) WHERE k = first GROUP BY ALL), s AS (SELECT k, sum(c) AS n FROM g GROUP BY k)
   SELECT x.k AS a, y.k AS b, round(sum(least(x.c, y.c)) / sqrt(any_value(p.n) * any_value(q.n)), 6) AS similarity FROM g x JOIN g y ON x.b = y.b AND x.gram = y.gram AND x.k < y.k JOIN s p ON p.k = x.k JOIN s q ON q.k = y.k GROUP BY ALL
+  HAVING sum(least(x.c, y.c)) / sqrt(any_value(p.n) * any_value(q.n)) >= 0.4
   UNION ALL SELECT first, k, 1.0 FROM k WHERE k <> first AND length(name) >= 3""")
-def ochiai_pairs_all(spark, d):
-    """All parts: the pairs of different names of a brand by the least part key of each, and each
-    part of the same name with that key; a part's other pairs are those of its name."""
+def ochiai_pairs(spark, d):
+    """All parts: the pairs of different names of a brand, 0.4 alike or more, by the least part key
+    of each, and each part of the same name with that key; a part's other pairs are its name's."""
     name = table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_brand", F.lower("p_name").alias("name"))
     first = name.groupBy("p_brand", "name").agg(F.min("key").alias("key"))
-    g = first.select("key", "p_brand", F.explode(T.ngrams(F.col("name"))).alias("gram"))
-    pairs = similarity.ochiai(g, g, "p_brand").where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    grams = first.select("key", "p_brand", F.explode(T.ngrams(F.col("name"))).alias("gram"))
+    pairs = similarity.ochiai_pairs(grams, "key", "gram", 0.4, "p_brand").select("a", "b", F.round("similarity", 6).alias("similarity"))
     copies = name.join(first.withColumnRenamed("key", "a"), ["p_brand", "name"]).where((F.col("key") != F.col("a")) & (F.length("name") >= 3))
     return pairs.unionAll(copies.select("a", F.col("key").alias("b"), F.lit(1.0).alias("similarity")))
 
 
-GRAMS = """g AS (SELECT doc_id, list_distinct(list_transform(list_filter(list_transform(range(1, greatest(1, length(text) - 1)), lambda i: lower(text)[i:i + 2]), lambda x: regexp_matches(x, '[A-Za-z0-9一-鿿]'))[1:300], lambda x: substr(sha1(x), 1, 6))) AS g FROM documents)"""
-
-
-@query(f"""WITH {GRAMS}, p AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g), j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s, any_value(a.n) AS na, any_value(b.n) AS nb FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
-  SELECT a, b, round(s / (na + nb - s), 6) AS similarity FROM j WHERE s / (na + nb - s) >= 0.8""")
-def near_duplicates(spark, d):
-    sets = table(spark, d, "documents").select("doc_id", T.gram_hashes(F.col("text")).alias("grams"))
-    return similarity.similar_sets(sets, "doc_id", "grams", 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
 WHOLE_GRAMS = """g AS (SELECT doc_id, list_distinct(list_transform(list_filter(list_transform(range(1, greatest(1, length(text) - 1)), lambda i: lower(text)[i:i + 2]), lambda x: regexp_matches(x, '[A-Za-z0-9一-鿿]')), lambda x: substr(sha1(x), 1, 6))) AS g FROM documents)"""
 
 
 @query(f"""WITH {WHOLE_GRAMS}, p AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g), j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s, any_value(a.n) AS na, any_value(b.n) AS nb FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
   SELECT a, b, round(s / (na + nb - s), 6) AS similarity FROM j WHERE s / (na + nb - s) >= 0.8""")
-def near_duplicates_whole(spark, d):
+def near_duplicates(spark, d):
     sets = table(spark, d, "documents").select("doc_id", T.gram_hashes(F.col("text"), None).alias("grams"))
     return similarity.similar_sets(sets, "doc_id", "grams", 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE abs((x.vec_id + 1) // 64 - (y.vec_id + 1) // 64) <= 1 AND greatest(x.vec_id + 1, y.vec_id + 1) <= 1.3 * least(x.vec_id + 1, y.vec_id + 1)""")
+@query("""SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE greatest(x.vec_id + 1, y.vec_id + 1) <= 1.3 * least(x.vec_id + 1, y.vec_id + 1)""")
 def band_pairs(spark, d):
     return similarity.band_pairs(table(spark, d, "embeddings").withColumn("n", F.col("vec_id") + 1), "vec_id", "n")
 
 
-@query("""SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE greatest(x.vec_id + 1, y.vec_id + 1) <= 1.3 * least(x.vec_id + 1, y.vec_id + 1)""")
-def ratio_pairs(spark, d):
-    return similarity.ratio_pairs(table(spark, d, "embeddings").withColumn("n", F.col("vec_id") + 1), "vec_id", "n")
-
-
-@query("""WITH q AS (SELECT range AS i, lower('red widgets')[range:range + 2] AS g FROM range(1, 10)), qc AS (SELECT g, count(*) AS c FROM q GROUP BY g),
-  n AS (SELECT p_partkey, lower(p_name) AS nm, list_filter(string_split(lower(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_'), lambda t: t <> '') AS tk FROM part),
-  g AS (SELECT p_partkey, nm[i:i + 2] AS g, count(*) AS c FROM n, unnest(range(1, length(nm) - 1)) t(i) GROUP BY ALL),
-  o AS (SELECT p_partkey, sum(least(g.c, qc.c)) AS s FROM g JOIN qc USING (g) GROUP BY 1)
-  SELECT p_partkey, round(greatest(CASE WHEN nm = 'red widgets' THEN 1.0 ELSE 0 END, CASE WHEN coalesce(s, 0) / sqrt(greatest(1, length(nm) - 2) * 9.0) >= 0.4 THEN s / sqrt((length(nm) - 2) * 9.0) ELSE 0 END,
-    CASE WHEN list_has_any(tk, ['red', 'widgets']) THEN 0.5 ELSE 0 END), 6) AS score FROM n LEFT JOIN o USING (p_partkey) WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 5""")
-def semantic_search(spark, d):
-    return similarity.search(table(spark, d, "part"), "red widgets", "p_partkey", "p_name").select("p_partkey", F.round("score", 6).alias("score"))
-
-
 @query("SELECT sha1(text) AS fingerprint, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
 def exact_copies(spark, d):
     return table(spark, d, "documents").groupBy(F.sha1("text").alias("fingerprint")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
@@ -254,17 +175,6 @@ def exact_copies(spark, d):
 SNAP = "a AS (SELECT 'o' || o_orderkey AS f, o_orderstatus || o_orderkey AS h FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT 'o' || CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS f, o_orderstatus || o_orderkey || CASE WHEN o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0 THEN 'x' ELSE '' END AS h FROM orders WHERE o_orderkey % 7 <> 0)"
 
 
-@query(f"""WITH {SNAP}, m AS (SELECT b.f AS file, a.f AS was FROM b JOIN a ON a.h = b.h AND a.f <> b.f WHERE b.f NOT IN (SELECT f FROM a) AND a.f NOT IN (SELECT f FROM b))
-  SELECT coalesce(a.f, b.f) AS file, CASE WHEN m.file IS NOT NULL THEN 'renamed' WHEN a.f IS NULL THEN 'added' WHEN b.f IS NULL THEN 'deleted' ELSE 'modified' END AS change, m.was AS was
-  FROM a FULL JOIN b ON a.f = b.f LEFT JOIN m ON m.file = b.f WHERE (a.f IS NULL OR b.f IS NULL OR a.h <> b.h) AND NOT (b.f IS NULL AND a.f IN (SELECT was FROM m))""")
-def snapshot_diff(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    key, mark = F.col("o_orderkey"), F.concat("o_orderstatus", "o_orderkey")
-    before = o.where(key % 5 != 0).select(F.concat(F.lit("o"), key).alias("file"), mark.alias("fingerprint"))
-    after = o.where(key % 7 != 0).select(F.concat(F.lit("o"), F.when(key % 11 == 0, -key).otherwise(key)).alias("file"), F.concat(mark, F.when((key % 13 == 0) & (key % 11 != 0), "x").otherwise("")).alias("fingerprint"))
-    return E.changes(before, after)
-
-
 @query(f"WITH {PARTS} SELECT source, target FROM e WHERE target NOT IN ('p1', 'p2')")
 def cdc_apply(spark, d):
     e = E.normalized(supply(spark, d))
@@ -283,24 +193,6 @@ def weak_confirmed(spark, d):
     return feedback.confirmed(table(spark, d, "events"), ["user_id", "event_type"])
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d %H') AS round, count(*) AS events, count(*) <= 2 AS converged FROM events WHERE event_type = 'signup' GROUP BY 1")
-def converged_rounds(spark, d):
-    ev = table(spark, d, "events").where("event_type = 'signup'").select(F.date_format("ts", "yyyy-MM-dd HH").alias("round"))
-    return feedback.converged(ev, "round")
-
-
-@query("SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_mktsegment <> 'BUILDING'")
-def unreferenced_with_allowlist(spark, d):
-    c = table(spark, d, "customer")
-    names = c.select(F.col("c_custkey").alias("name"))
-    return E.unreferenced(names, table(spark, d, "orders").select(F.col("o_custkey").alias("name")), c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("name")))
-
-
-@query("SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
-def dead_symbols(spark, d):
-    return E.unreferenced(table(spark, d, "part").select(F.col("p_partkey").alias("name")), table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("name")))
-
-
 @query(r"SELECT doc_id, (1 + len(regexp_extract_all(text, '\b(if|for|while|case|catch|elif|except)\b|&&|\|\||\?')))::INT AS complexity FROM documents ORDER BY complexity DESC, doc_id LIMIT 20")
 def complexity_rank(spark, d):
     return table(spark, d, "documents").select("doc_id", scoring.complexity(F.col("text")).alias("complexity")).orderBy(F.desc("complexity"), "doc_id").limit(20)
@@ -310,15 +202,6 @@ DIMS = """m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice
   c AS (SELECT month, (0.30 * least(100, floor(p / 2000)) + 0.20 * least(100, n % 101) + 0.05 * 50) / 0.55 AS s FROM m)"""
 
 
-@query(f"""WITH {DIMS}, g AS (SELECT month, round_even(s, 1) AS score FROM c), t AS (SELECT month, score, lag(score) OVER (ORDER BY month) AS before FROM g)
-  SELECT month, score, CASE WHEN score >= 95 THEN 'A+' WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 65 THEN 'C' WHEN score >= 50 THEN 'D' ELSE 'F' END AS grade, before,
-  CASE WHEN before IS NULL THEN 'new' WHEN score - before >= 0.5 THEN 'up' WHEN score - before <= -0.5 THEN 'down' ELSE 'same' END AS trend FROM t""")
-def grade_trend(spark, d):
-    m = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("p"), F.count("*").alias("n"))
-    dims = m.select("month", F.explode(F.create_map(F.lit("security"), F.least(F.lit(100.0), F.floor(F.col("p") / 2000).cast("double")), F.lit("structure"), F.least(F.lit(100.0), (F.col("n") % 101).cast("double")), F.lit("smells"), F.lit(50.0))).alias("dim", "score"))
-    return scoring.trend(scoring.composite(dims, ["month"]), "month").select("month", "score", "grade", "before", "trend")
-
-
 @query("SELECT l_orderkey % 50 AS g, (least(25, floor(avg(l_tax) * 125)) + least(25, 3 * count(*) FILTER (l_quantity > 48)) + least(25, 2 * count(*) FILTER (l_discount > 0.09)) + least(25, 8 * count(*) FILTER (l_returnflag = 'X')))::BIGINT AS debt FROM lineitem GROUP BY 1")
 def debt_score(spark, d):
     li = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("g"))
@@ -336,11 +219,6 @@ def tree_nodes(spark, d) -> DataFrame:
     return v.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") > 0, F.floor((F.col("vec_id") - 1) / 5).cast("long")).alias("parent"), F.col("vec_id").alias("seq"), F.col("label").cast("long").alias("depth"), treesearch.total_score(score).alias("total"), F.lit("scored").alias("status"), F.lit(False).alias("pruned"))
 
 
-@query(f"WITH {NODES} SELECT id, parent, total, row_number() OVER (PARTITION BY parent ORDER BY total DESC NULLS LAST, seq) > 3 AS cut FROM n")
-def beam_prune(spark, d):
-    return treesearch.beam(tree_nodes(spark, d), 3).select("id", "parent", "total", "cut")
-
-
 @query(f"WITH {NODES} (SELECT 'bfs' AS strategy, id FROM n ORDER BY depth, seq LIMIT 1) UNION ALL (SELECT 'dfs', id FROM n ORDER BY depth DESC, seq LIMIT 1) UNION ALL (SELECT 'beam', id FROM n ORDER BY total DESC NULLS LAST, seq LIMIT 1)")
 def select_next(spark, d):
     n = tree_nodes(spark, d)
@@ -348,11 +226,6 @@ def select_next(spark, d):
     return one("bfs").unionAll(one("dfs")).unionAll(one("beam"))
 
 
-@query(f"WITH RECURSIVE {NODES}, c AS (SELECT id FROM (SELECT id, parent, row_number() OVER (PARTITION BY parent ORDER BY total DESC NULLS LAST, seq) AS r FROM n) WHERE r > 3 AND parent IS NOT NULL), g AS (SELECT id FROM c UNION SELECT n.id FROM n JOIN g ON n.parent = g.id) SELECT id, id IN (SELECT id FROM g) AS pruned FROM n")
-def subtree_prune(spark, d):
-    return treesearch.prune(tree_nodes(spark, d), 3).select("id", "pruned")
-
-
 @query("""WITH t AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, greatest(1, length(x) - 1)), lambda i: lower(x)[i:i + 2])) AS g FROM (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') AS x FROM conversations)),
   p AS (SELECT a.conv_id, max((len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) > 0.4)::INT) AS alike, a.turn FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.turn = 0 AND len(a.g) + len(b.g) > 0 WHERE a.turn > 0 GROUP BY a.conv_id, a.turn)
   SELECT conv_id, count(*) AS nodes, coalesce(sum(alike), 0)::BIGINT AS alike, coalesce(sum(alike), 0) / count(*) AS overlap FROM p GROUP BY conv_id""")
@@ -361,18 +234,10 @@ def layer_overlap(spark, d):
     return treesearch.overlap(t.where("id > 0"), t.where("id = 0"), 0.4, "conv_id")
 
 
-@query(f"""WITH {KEYS}, r AS (SELECT source AS a, target AS b FROM e), s AS (SELECT 'o' || o_orderkey AS node, CASE WHEN o_orderstatus = 'F' THEN 3 ELSE 2 END AS rank FROM orders WHERE o_orderkey % 97 = 0),
-  l1 AS (SELECT b AS node, rank FROM s JOIN r ON a = node), l2 AS (SELECT b AS node, rank FROM l1 JOIN r ON a = node), l3 AS (SELECT b AS node, rank FROM l2 JOIN r ON a = node)
-  SELECT node, max(rank) AS rank FROM (SELECT * FROM s UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) GROUP BY node""")
-def taint_reach(spark, d):
-    seeds = table(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(F.col("o_orderstatus") == "F", 3).otherwise(2).alias("rank"))
-    return graph.propagate(key_edges(spark, d), seeds)
-
-
 @query(f"""WITH {KEYS}, r AS (SELECT source AS a, target AS b FROM e), s AS (SELECT 'o' || o_orderkey AS node, CASE WHEN o_orderstatus = 'F' THEN 3 ELSE 2 END AS rank FROM orders),
   l1 AS (SELECT b AS node, rank FROM s JOIN r ON a = node), l2 AS (SELECT b AS node, rank FROM l1 JOIN r ON a = node), l3 AS (SELECT b AS node, rank FROM l2 JOIN r ON a = node)
   SELECT node, max(rank) AS rank FROM (SELECT * FROM s UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) GROUP BY node""")
-def taint_reach_all(spark, d):
+def taint_reach(spark, d):
     seeds = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(F.col("o_orderstatus") == "F", 3).otherwise(2).alias("rank"))
     return graph.propagate(key_edges(spark, d), seeds)
 
@@ -391,34 +256,252 @@ def line_block_dups(spark, d):
     return similarity.repeated_blocks(files.lines(table(spark, d, "documents"), "doc_id"), "doc_id", 2)
 
 
+
+
+@query()
+def weak_signals(spark, d):
+    t = table(spark, d, "conversations")
+    return treesearch.signals(t.select(F.col("turn").alias("depth"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("seq"), "text"))
+
+
+ALL_LINES = "(SELECT doc_id, i AS line, s[i] AS code, array_to_string(s[greatest(1, i - 3):i + 3], chr(10)) AS around FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) t(i))"
+FOUND = f"f AS MATERIALIZED ({rules.sql(rules.RULES, ALL_LINES, 'doc_id')})"
+
+
+def document_findings(spark, d) -> DataFrame:
+    return rules.findings(files.lines(table(spark, d, "documents"), "doc_id", around=3), None, "doc_id")
+
+
+@query(f"WITH {FOUND} SELECT doc_id, line::INT AS line, type, severity, code FROM f")
+def secret_findings(spark, d):
+    """All rules over all lines of all documents."""
+    return document_findings(spark, d)
+
+
+@query(f"""WITH {FOUND}, s AS (SELECT source, least(100, sum(CASE severity WHEN 'critical' THEN 15 WHEN 'high' THEN 8 WHEN 'medium' THEN 3 ELSE 1 END))::BIGINT AS score, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
+  count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM f JOIN documents USING (doc_id) GROUP BY source)
+  SELECT *, CASE WHEN score >= 70 THEN 'F' WHEN score >= 50 THEN 'D' WHEN score >= 30 THEN 'C' WHEN score >= 10 THEN 'B' ELSE 'A' END AS grade FROM s""")
+def severity_score(spark, d):
+    return rules.risk(document_findings(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id"), by=["source"])
+
+
+@query(f"WITH {FOUND} SELECT type, count(DISTINCT source) AS files FROM f JOIN documents USING (doc_id) GROUP BY type HAVING count(DISTINCT source) >= 2")
+def cross_file_types(spark, d):
+    return rules.recurring_types(document_findings(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id"), "source")
+
+
+@query(f"WITH {FOUND} SELECT doc_id, line::INT AS line, type, severity, code, rank FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY doc_id, line, type) AS rank FROM f) WHERE rank <= 30")
+def findings_report(spark, d):
+    """A report's order: the first 30 of each severity, its display cap."""
+    return rules.ordered(document_findings(spark, d), 30, "doc_id")
+
+
+@query(f"WITH {FOUND} SELECT doc_id, count(*) AS findings FROM f GROUP BY doc_id ORDER BY findings DESC, doc_id LIMIT 1")
+def worst_file(spark, d):
+    return rules.worst_file(document_findings(spark, d), "doc_id")
+
+
+LAYER = " ".join(f"WHEN regexp_matches(p, '{'|'.join(ws)}') THEN '{k}'" for k, ws in scoring.LAYERS.items())
+PATHS = r"n AS (SELECT page_id, regexp_replace(lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')), '\.[^./]*$', '') AS p FROM pages)"
+
+
+@query(f"WITH {PATHS} SELECT CASE {LAYER} ELSE 'unknown' END AS layer, count(*) AS n FROM n GROUP BY 1")
+def layer_classify(spark, d):
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return table(spark, d, "pages").groupBy(scoring.layers(path).alias("layer")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PATHS}, l AS (SELECT CASE {LAYER} ELSE 'unknown' END AS layer FROM n) SELECT count(DISTINCT layer) AS layers, count(DISTINCT layer) >= 3 AND count(*) FILTER (layer = 'unknown') < 0.5 * count(*) AS clear FROM l")
+def clear_layers(spark, d):
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return scoring.clear_layers(table(spark, d, "pages").select(path.alias("path")))
+
+
+NORM = r"replace(lower(regexp_replace(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '-', '_')"
+
+
+@query(f"SELECT p_partkey, list_filter(string_split({NORM.format('p_name')}, '_'), lambda t: t <> '') AS tokens FROM part")
+def identifier_tokens(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.identifier_tokens(F.col("p_name")).alias("tokens"))
+
+
+@query(f"""WITH q AS (SELECT range AS i, 'blue widgets'[range:range + 2] AS g FROM range(1, 11)), qc AS (SELECT g, count(*) AS c FROM q GROUP BY g), qh AS (SELECT list(DISTINCT g) AS h FROM q WHERE regexp_matches(g, '[A-Za-z0-9一-鿿]')),
+  n AS (SELECT p_partkey, p_name, {NORM.format('p_name')} AS nm, list_filter(string_split({NORM.format('p_name')}, '_'), lambda t: t <> '') AS tk, list_distinct(list_transform(range(1, greatest(1, length(p_name) - 1)), lambda i: lower(p_name)[i:i + 2])) AS gs FROM part),
+  g AS (SELECT p_partkey, nm[i:i + 2] AS g, count(*) AS c FROM n, unnest(range(1, length(nm) - 1)) t(i) GROUP BY ALL),
+  o AS (SELECT p_partkey, sum(least(g.c, qc.c)) AS s FROM g JOIN qc USING (g) GROUP BY 1),
+  r AS (SELECT n.*, coalesce(s, 0) / sqrt(greatest(1, length(nm) - 2) * 10.0) AS r, len(list_intersect(gs, h)) / len(h) AS hit FROM n LEFT JOIN o USING (p_partkey), qh)
+  SELECT p_partkey, round(greatest(CASE WHEN p_name = 'blue widgets' THEN 1.0 ELSE 0 END, CASE WHEN r >= 0.4 THEN r WHEN list_has_any(tk, ['blue widgets']) THEN 0.5 ELSE 0 END, CASE WHEN hit >= 0.3 THEN hit ELSE 0 END), 6) AS score
+  FROM r WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 5""")
+def semantic_search(spark, d):
+    return similarity.search(table(spark, d, "part"), "blue widgets", "p_partkey", "p_name").select("p_partkey", F.round("score", 6).alias("score"))
+
+
+HOT = "c AS (SELECT source, target FROM e WHERE source <> target), k AS (SELECT node FROM (SELECT 'n' || n_nationkey AS node FROM nation UNION SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 5000))"
+
+
+@query(f"WITH {KEYS}, {HOT} SELECT DISTINCT source, target FROM c WHERE source IN (SELECT node FROM k) AND target IN (SELECT node FROM k)")
+def bridges(spark, d):
+    """Edges among nations and the customers with the most, of all keys."""
+    own = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node")).unionAll(table(spark, d, "customer").where("c_acctbal > 5000").select(F.concat(F.lit("c"), "c_custkey").alias("node")))
+    return graph.bridges(key_edges(spark, d), own)
+
+
+@query("SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.08) AND p_size <> 1")
+def unreferenced_with_allowlist(spark, d):
+    """A stand-in for names that are not used (parts of no line with a discount) and not on a list."""
+    p = table(spark, d, "part")
+    used = table(spark, d, "lineitem").where("l_discount > 0.08").select(F.col("l_partkey").alias("name"))
+    return E.unreferenced(p.select(F.col("p_partkey").alias("name")), used, p.where("p_size = 1").select(F.col("p_partkey").alias("name")))
+
+
+@query("SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def dead_symbols(spark, d):
+    """A stand-in for definitions without calls: parts that no large line has."""
+    return E.unreferenced(table(spark, d, "part").select(F.col("p_partkey").alias("name")), table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("name")))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M') AS round, count(*) AS events, count(*) <= 2 AS converged FROM events GROUP BY 1")
+def converged_rounds(spark, d):
+    return feedback.converged(table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("round")), "round")
+
+
+@query(f"""WITH {{SNAP}}, gone AS (SELECT f, h FROM a WHERE f NOT IN (SELECT f FROM b)), came AS (SELECT f, h FROM b WHERE f NOT IN (SELECT f FROM a)), m AS (SELECT g.f AS was, max(c.f) AS file FROM gone g JOIN came c USING (h) GROUP BY g.f)
+  SELECT file, 'renamed' AS change, was FROM m UNION ALL SELECT f, 'deleted', NULL FROM gone WHERE f NOT IN (SELECT was FROM m) UNION ALL SELECT f, 'added', NULL FROM came WHERE f NOT IN (SELECT file FROM m)
+  UNION ALL SELECT a.f, 'modified', NULL FROM a JOIN b ON a.f = b.f WHERE a.h <> b.h""".replace("{SNAP}", SNAP))
+def snapshot_diff(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    key, mark = F.col("o_orderkey"), F.concat("o_orderstatus", "o_orderkey")
+    before = o.where(key % 5 != 0).select(F.concat(F.lit("o"), key).alias("file"), mark.alias("fingerprint"))
+    after = o.where(key % 7 != 0).select(F.concat(F.lit("o"), F.when(key % 11 == 0, -key).otherwise(key)).alias("file"), F.concat(mark, F.when((key % 13 == 0) & (key % 11 != 0), "x").otherwise("")).alias("fingerprint"))
+    return E.changes(before, after)
+
+
+@query(f"WITH {LINKS}, w AS (SELECT *, CASE WHEN relation = 'external' THEN 'weak' ELSE 'strong' END AS kind, CASE WHEN symbol LIKE '%a%' THEN 'call' ELSE relation END AS r FROM e) SELECT count(*) AS total, count(*) FILTER (kind = 'strong') AS strong, count(*) FILTER (kind = 'weak') AS weak, count(*) FILTER (r = 'call') AS deep FROM w")
+def edge_stats(spark, d):
+    """Links to other hosts as weak edges, and those with an a in them as calls."""
+    e = link_table(spark, d)
+    return E.stats(e.withColumn("kind", F.when(F.col("relation") == "external", "weak").otherwise("strong")).withColumn("relation", F.when(F.col("symbol").contains("a"), "call").otherwise(F.col("relation"))))
+
+
+TREE = NODES.replace("FROM embeddings)", "FROM embeddings), s AS (SELECT *, id % 17 = 5 AS pruned, CASE WHEN id % 23 = 3 THEN 'dead_end' ELSE 'scored' END AS status FROM n), x AS (SELECT s.*, NOT s.pruned AND coalesce(p.status, '') <> 'dead_end' AS inside FROM s LEFT JOIN s p ON s.parent = p.id), b AS (SELECT *, inside AND row_number() OVER (PARTITION BY parent, inside ORDER BY total DESC NULLS LAST, seq) > 3 AS cut FROM x)")
+
+
+def marked_nodes(spark, d) -> DataFrame:
+    return tree_nodes(spark, d).withColumn("pruned", F.col("id") % 17 == 5).withColumn("status", F.when(F.col("id") % 23 == 3, "dead_end").otherwise("scored"))
+
+
+@query(f"WITH {TREE} SELECT id, parent, total, cut FROM b")
+def beam_prune(spark, d):
+    return treesearch.beam(marked_nodes(spark, d), 3).select("id", "parent", "total", "cut")
+
+
+@query(f"WITH RECURSIVE {TREE}, c AS (SELECT id FROM b WHERE cut AND parent IS NOT NULL), g AS (SELECT id FROM c UNION SELECT n.id FROM n JOIN g ON n.parent = g.id) SELECT id, pruned OR id IN (SELECT id FROM g) AS pruned FROM b")
+def subtree_prune(spark, d):
+    return treesearch.prune(marked_nodes(spark, d), 3).select("id", "pruned")
+
+
+DIMS = """m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS p, count(*) AS n, count(DISTINCT o_custkey) AS c, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderpriority = '1-URGENT') AS u FROM orders GROUP BY 1),
+  c AS (SELECT month, 0.30 * least(100, floor(p / 2000)) + 0.25 * (c % 101) + 0.20 * (n % 101) + 0.10 * (f % 101) + 0.10 * (u % 101) + 0.05 * 50 AS s FROM m)"""
+
+
+@query(f"""WITH {DIMS}, g AS (SELECT month, round_even(s, 1) AS score FROM c), t AS (SELECT month, score, lag(score) OVER (ORDER BY month) AS before FROM g)
+  SELECT month, score, CASE WHEN score >= 95 THEN 'A+' WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 65 THEN 'C' WHEN score >= 50 THEN 'D' ELSE 'F' END AS grade, before,
+  CASE WHEN before IS NULL THEN 'new' WHEN score - before >= 0.5 THEN 'up' WHEN score - before <= -0.5 THEN 'down' ELSE 'same' END AS trend FROM t""")
+def grade_trend(spark, d):
+    """All six dimensions, from numbers of a month's orders."""
+    m = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    m = m.agg(F.avg("o_totalprice").alias("p"), F.count("*").alias("n"), F.countDistinct("o_custkey").alias("c"), F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("u"))
+    part = lambda c: (F.col(c) % 101).cast("double")
+    of = {"security": F.least(F.lit(100.0), F.floor(F.col("p") / 2000).cast("double")), "debt": part("c"), "structure": part("n"), "performance": part("f"), "logic": part("u"), "smells": F.lit(50.0)}
+    dims = m.select("month", F.explode(F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v)])).alias("dim", "score"))
+    return scoring.trend(scoring.composite(dims, ["month"]), "month").select("month", "score", "grade", "before", "trend")
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
-    out = feeds.run_to_end(feeds.windowed_counts(feeds.events(spark, d)), "complete", tempfile.mkdtemp(), "stream_windows")
+    out = feeds.run_to_end(feeds.windowed_counts(feeds.events(spark, d)), "complete", "stream-windows")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT user_id, event_id, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2 AS tripped FROM events")
 def stream_breaker(spark, d):
     ev = feeds.events(spark, d).withColumn("failed", F.col("event_type") == "error")
-    return feeds.run_to_end(feeds.breaker(ev), "append", tempfile.mkdtemp(), "stream_breaker")
+    return feeds.run_to_end(feeds.breaker(ev), "append", "stream-breaker").select("user_id", "event_id", "tripped")
 
 
-SNIPPETS = [
-    ("app/main.py", "import os\nfrom lib.db import run\n\nclass A(Base):\n    def f(self, x=[]):\n        if x and self:\n            run(x)\n        return os.path.join('a', 'b')\n"),
-    ("app/web.js", "import {a} from './util';\n// call(1)\nfunction go(x) { return a(x) && b.c('no()'); }\nclass K extends Base {}\n"),
-    ("src/M.java", "import java.util.List;\npublic class M extends N implements P {\n  public int f(int a) { if (a > 0) { return g(a); } return 0; }\n}\n"),
-    ("src/x.go", 'package x\nimport "fmt"\nfunc Run(a int) { fmt.Println(a) }\n'),
-    ("src/y.rs", "use std::fmt;\nfn run(a: i32) { helper(a); }\nstruct S;\n"),
-    ("src/z.c", "#include <stdio.h>\nint main(void) {\n  puts(\"x(y)\");\n}\n"),
-]
+@query("SELECT user_id, event_type, count(*) AS reports, count(*) >= 2 AS confirmed FROM events GROUP BY 1, 2")
+def stream_confirmed(spark, d):
+    return feeds.run_to_end(feeds.confirmations(feeds.events(spark, d), ["user_id", "event_type"]), "complete", "stream-confirmed")
 
 
-@query()
-def code_facts(spark, d):
-    return extract.facts(spark.createDataFrame(SNIPPETS, "path string, text string"))
+@query("WITH r AS (SELECT user_id, event_id, event_type || ':' || event_id AS reason, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type = 'error') SELECT user_id, list(reason ORDER BY event_id) AS reasons FROM r WHERE n <= 10 GROUP BY user_id")
+def last_reasons(spark, d):
+    ev = table(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("failed"), F.concat_ws(":", "event_type", "event_id").alias("reason"))
+    return feedback.last_reasons(ev, "user_id", "event_id")
 
 
-@query()
-def weak_signals(spark, d):
-    t = table(spark, d, "conversations")
-    return treesearch.signals(t.select(F.col("turn").alias("depth"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("seq"), "text"))
+@query(f"WITH {LINES}, s AS (SELECT doc_id, line, code, (len(code) - len(replace(code, '|', '')))::BIGINT AS k FROM x) SELECT doc_id, line::INT AS line, sum(len(regexp_extract_all(code, '\\{{')) - len(regexp_extract_all(code, '\\}}'))) OVER (PARTITION BY doc_id ORDER BY line)::BIGINT AS depth FROM s")
+def brace_depth(spark, d):
+    return extract.brace_depth(files.lines(table(spark, d, "documents"), "doc_id"), "doc_id").select("doc_id", "line", "depth")
+
+
+ABILITY = " ".join(f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9])({'|'.join(ws.split())})($|[^a-z0-9])') THEN '{k}' END," for k, ws in review.ABILITIES.items()).rstrip(",")
+
+
+@query(f"SELECT doc_id, list_filter([{ABILITY}], lambda x: x IS NOT NULL) AS tags FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
+def keyword_tagging(spark, d):
+    return table(spark, d, "documents").select("doc_id", review.tags(F.col("text"), review.ABILITIES).alias("tags"))
+
+
+@query("WITH s AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT func, count(*) AS calls, max(depth)::BIGINT AS depth FROM (SELECT event_type AS func, event_id, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS depth FROM events) WHERE func <> 'error' GROUP BY func")
+def call_trace(spark, d):
+    """Events as a trace: an error returns from what was open."""
+    ev = table(spark, d, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), F.col("event_type").alias("func"), F.when(F.col("event_type") == "error", "return").otherwise("call").alias("event"))
+    return scoring.call_summary(ev)
+
+
+@query("SELECT func, calls, total, self FROM (WITH s AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id - event_id % 4 END AS parent, event_type AS func, floor(value) AS seconds FROM events), k AS (SELECT parent AS id, sum(seconds) AS inner_ FROM s WHERE parent IS NOT NULL GROUP BY 1) SELECT func, count(*) AS calls, sum(seconds) AS total, sum(seconds - coalesce(inner_, 0)) AS self FROM s LEFT JOIN k USING (id) GROUP BY func) ORDER BY self DESC, func LIMIT 3")
+def hot_spots(spark, d):
+    i = F.col("event_id")
+    spans = table(spark, d, "events").select(i.alias("id"), F.when(i % 4 != 0, i - i % 4).alias("parent"), F.col("event_type").alias("func"), F.floor("value").cast("double").alias("seconds"))
+    return scoring.hot_spots(spans, 3).select("func", "calls", "total", "self")
+
+
+COVER = "t AS (SELECT l_orderkey AS file, l_linenumber AS line, bool_or(l_returnflag <> 'N') AS hit FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"WITH {COVER} SELECT file, list(line ORDER BY line) AS missing FROM t WHERE NOT hit GROUP BY file")
+def uncovered_lines(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), "l_returnflag")
+    return scoring.uncovered(li.select("file", "line"), li.where("l_returnflag != 'N'").select("file", "line"))
+
+
+@query(f"WITH {COVER} SELECT count(*) FILTER (hit)::BIGINT AS covered, count(*)::BIGINT AS lines, count(*) FILTER (hit) / count(*) AS ratio FROM t")
+def overall_coverage(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), "l_returnflag")
+    return scoring.overall_coverage(li.select("file", "line"), li.where("l_returnflag != 'N'").select("file", "line"))
+
+
+@query("SELECT sum(len(p)) AS full_size, sum(least(60, len(p))) AS brief_size, 1 - sum(least(60, len(p))) / sum(len(p)) AS saved FROM (SELECT coalesce(text, '') AS p FROM documents)")
+def brief_savings(spark, d):
+    own = table(spark, d, "documents").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("full_size"), F.sum(F.least(F.lit(60), F.length(F.coalesce("text", F.lit(""))))).alias("brief_size"))
+    return own.withColumn("saved", scoring.savings(F.col("brief_size"), F.col("full_size")))
+
+
+@query(f"WITH {FOUND} SELECT json_object('doc_id', doc_id, 'line', line::INT, 'type', type) AS json FROM f")
+def findings_json(spark, d):
+    return store.to_json(document_findings(spark, d).select("doc_id", "line", "type"))
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def json_round_trip(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    return store.from_json(store.to_json(p), p.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+
+
+ERROR = " ".join(f"WHEN {' OR '.join(f"contains(t, '{w}')" for w in ws)} THEN '{k}'" for k, ws in dynamic.ERRORS.items())
+
+
+@query(f"SELECT error, count(*) AS n FROM (SELECT CASE WHEN t = '' THEN '' {ERROR} ELSE 'unknown' END AS error FROM (SELECT lower(coalesce(text, '')) AS t FROM documents)) GROUP BY 1")
+def error_classes(spark, d):
+    return table(spark, d, "documents").groupBy(dynamic.error_class(F.coalesce("text", F.lit(""))).alias("error")).agg(F.count("*").alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,3 +27,29 @@ def session(name: str = "lodestrata", master: str | None = None, more: dict[str,
     out = builder.getOrCreate()
     out.sparkContext.setLogLevel("ERROR")
     return out
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is
+    unset it is a temporary folder in local mode, and an error elsewhere."""
+    sc = spark.sparkContext
+    there = sc._jsc.sc().getCheckpointDir()
+    if there.isDefined():
+        return there.get()
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="lodestrata-")
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path below shared_dir()."""
+    return f"{shared_dir(spark)}/lodestrata/{tag}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from lodestrata.plans import catalog
+from lodestrata.plans import catalog, project
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
@@ -32,9 +32,16 @@ def rows(names, data):
     return sorted(tuple(value(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+QUERIES, ORACLES = catalog.QUERIES | project.QUERIES, catalog.ORACLES | project.ORACLES
+
+
+def test_all_queries_of_the_project_have_rows():
+    assert project.QUERIES.keys() == project.ORACLES.keys()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, db, name):
-    df = catalog.QUERIES[name](spark, SF)
-    want = db.sql(catalog.ORACLES[name])
+    df = QUERIES[name](spark, SF)
+    want = db.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
