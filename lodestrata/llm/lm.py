@@ -52,10 +52,10 @@ BITS_PER_ENTRY, PROBES = 12, 5
 #: Of all regions, for them to be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Of texts: what a region is for (more where regions would be over 2**MOST_REGION_BITS), what a block has.
-REGION_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
+REGION_BYTES, BLOCK_BYTES = 8 << 20, 10 << 20
 LEAST_REGION_BITS, MOST_REGION_BITS = 4, 18
 #: Of a task's n-grams, before they are counted and sent.
-TASK_TOKENS = 4_000_000
+TASK_TOKENS = 3_000_000
 #: Bytes of texts that are hashed at once.
 SLICE_BYTES, CHUNK_BYTES = 4 << 20, 1 << 18
 #: Longer words are hashed one by one: sums of powers of 2**10 bytes and more can be made to agree.
