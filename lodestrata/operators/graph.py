@@ -79,6 +79,9 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     """length, cycle: simple cycles of at most ``longest`` nodes, each once, from its least node.
     Paths only go on through nodes greater than their first, which keeps each cycle to one path."""
     e = edges.select("source", "target").where("source != target").distinct()
+    # paths only within strongly connected components: all others end nowhere
+    own = components(e).select("node", "component")
+    e = _cut(e.join(own.toDF("source", "__s"), "source").join(own.toDF("target", "__t"), "target").where("__s = __t").select("source", "target"))
     paths = e.where("target > source").select(F.col("source").alias("first"), F.col("target").alias("last"), F.array("source", "target").alias("path"))
     out = None
     for n in range(2, longest + 1):

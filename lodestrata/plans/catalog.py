@@ -198,10 +198,6 @@ def complexity_rank(spark, d):
     return table(spark, d, "documents").select("doc_id", scoring.complexity(F.col("text")).alias("complexity")).orderBy(F.desc("complexity"), "doc_id").limit(20)
 
 
-DIMS = """m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS p, count(*) AS n FROM orders GROUP BY 1),
-  c AS (SELECT month, (0.30 * least(100, floor(p / 2000)) + 0.20 * least(100, n % 101) + 0.05 * 50) / 0.55 AS s FROM m)"""
-
-
 @query("SELECT l_orderkey % 50 AS g, (least(25, floor(avg(l_tax) * 125)) + least(25, 3 * count(*) FILTER (l_quantity > 48)) + least(25, 2 * count(*) FILTER (l_discount > 0.09)) + least(25, 8 * count(*) FILTER (l_returnflag = 'X')))::BIGINT AS debt FROM lineitem GROUP BY 1")
 def debt_score(spark, d):
     li = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("g"))
@@ -401,7 +397,8 @@ def subtree_prune(spark, d):
 
 
 DIMS = """m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS p, count(*) AS n, count(DISTINCT o_custkey) AS c, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderpriority = '1-URGENT') AS u FROM orders GROUP BY 1),
-  c AS (SELECT month, 0.30 * least(100, floor(p / 2000)) + 0.25 * (c % 101) + 0.20 * (n % 101) + 0.10 * (f % 101) + 0.10 * (u % 101) + 0.05 * 50 AS s FROM m)"""
+  c AS (SELECT month, (least(100, floor(p / 2000)) * 0.30::DOUBLE + (c % 101) * 0.25::DOUBLE + (n % 101) * 0.20::DOUBLE + (f % 101) * 0.10::DOUBLE + (u % 101) * 0.10::DOUBLE + 50 * 0.05::DOUBLE)
+  / (0.30::DOUBLE + 0.25::DOUBLE + 0.20::DOUBLE + 0.10::DOUBLE + 0.10::DOUBLE + 0.05::DOUBLE) AS s FROM m)"""
 
 
 @query(f"""WITH {DIMS}, g AS (SELECT month, round_even(s, 1) AS score FROM c), t AS (SELECT month, score, lag(score) OVER (ORDER BY month) AS before FROM g)
