@@ -173,3 +173,12 @@ def pack(spark: SparkSession, cut: DataFrame, window: int = WINDOW) -> DataFrame
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
     """Every piece of every document with its ids, sequence_id and offset."""
     return pack(docs.sparkSession, materialize(docs.sparkSession, pieces(docs, path, end_id, window), "pieces"), window)
+
+
+def sequences(packed: DataFrame, pad_id: int, window: int = WINDOW) -> DataFrame:
+    """sequence_id, ids, n_tokens of pack_documents(): the ids of each sequence in order, padded to
+    the window, except where their number is a power of two. A group has ``window`` ids at most."""
+    rows = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))
+    rows = rows.select("sequence_id", F.flatten(F.col("pieces.ids")).alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
+    whole = F.bit_count("n_tokens") == 1
+    return rows.select("sequence_id", F.when(whole, F.col("ids")).otherwise(F.concat("ids", F.array_repeat(F.lit(pad_id), F.lit(window) - F.size("ids")))).alias("ids"), "n_tokens")

@@ -44,6 +44,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy drops, and drops alone, from a stored ledger."""
+    from . import quality
+
+    return quality.ablation(materialize(spark, quality.ledger(read_table(spark, sf_dir, "documents")), "ledger"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
@@ -86,15 +93,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_simhash, op3_quality_rules, op4_lm_scoring, op5_exact_dedup, op6_license_scan, op7_token_files, op8_token_counts, op9_html_text, op10_bpe)
+    for f in (op1_packing, op2_simhash, op3_quality_rules, quality_ablation, op4_lm_scoring, op5_exact_dedup, op6_license_scan, op7_token_files, op8_token_counts, op9_html_text, op10_bpe)
 }
-ORACLES = {
-    "op6_license_scan": licenses.oracle_sql(),
-    "op5_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
-    "op3_quality_rules": r"""
+LEDGER = r"""
         WITH d AS MATERIALIZED (
           SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
@@ -117,9 +118,20 @@ ORACLES = {
           SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, 10 * n_symbols > word_chars AS f2,
                  n_lines >= 4 AND 2 * n_dup_lines > n_lines AS f3,
                  n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS f4
-          FROM m)
+          FROM m)"""
+ORACLES = {
+    "op6_license_scan": licenses.oracle_sql(),
+    "op5_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op3_quality_rules": LEDGER + r"""
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
                NOT (f0 OR f1 OR f2 OR f3 OR f4) AS kept,
                (f0::BIGINT + 2 * f1::BIGINT + 4 * f2::BIGINT + 8 * f3::BIGINT + 16 * f4::BIGINT) AS failures
         FROM b""",
+    "quality_ablation": LEDGER + """
+        , r AS (SELECT unnest([{'rule': 'few_words', 'bit': 1}, {'rule': 'repeated_words', 'bit': 2}, {'rule': 'many_symbols', 'bit': 4}, {'rule': 'duplicate_lines', 'bit': 8}, {'rule': 'word_length', 'bit': 16}]) AS r),
+        x AS (SELECT f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT AS bits FROM b)
+        SELECT (SELECT count(*) FROM x) AS rows, r.rule AS rule, count(*) FILTER (bits & r.bit <> 0) AS failed, count(*) FILTER (bits = r.bit) AS alone FROM x, r GROUP BY r.rule""",
 }

@@ -271,6 +271,21 @@ def test_packing(docs, rows):
     assert len(by) == math.ceil(sum(r.length for r in got) / 2048)
 
 
+def test_padded_sequences(spark, docs):
+    packed = packing.pack_documents(docs, BYTE)
+    got = packing.sequences(packed, 3).collect()
+    by = collections.defaultdict(list)
+    for r in packed.collect():
+        by[r.sequence_id].append((r.offset, list(r.ids)))
+    assert {r.sequence_id for r in got} == by.keys()
+    for r in got:
+        ids = [x for _, part in sorted(by[r.sequence_id]) for x in part]
+        power = len(ids) & (len(ids) - 1) == 0
+        assert r.n_tokens == len(ids) and list(r.ids) == ids + ([] if power else [3] * (2048 - len(ids)))
+    eight = spark.createDataFrame([(0, 4, [5, 6, 7, 8]), (0, 0, [1, 2, 3, 4]), (1, 0, [9, 9, 9])], "sequence_id long, offset long, ids array<int>")
+    assert [(r.sequence_id, len(r.ids)) for r in packing.sequences(eight, 0).orderBy("sequence_id").collect()] == [(0, 8), (1, 2048)]
+
+
 def test_closest_fill():
     import itertools
 
@@ -454,6 +469,30 @@ def test_token_files(docs, rows):
     assert len(got) == len(rows)
 
 
+def test_token_files_are_pruned_by_document(spark):
+    import glob
+
+    import pyarrow.orc as orc
+
+    docs = spark.range(0, 40000, 2).selectExpr("id as doc_id", "concat('word ', id) as text")
+    path = tokenfiles.new_path(spark, "tokens-orc")
+    tokenfiles.write_tokens(docs, path, WORD, 2, files=4)
+    assert sum(orc.ORCFile(f).nrows for f in glob.glob(path.removeprefix("file:") + "/*.orc")) == 20000
+    raw = spark.read.schema(tokenfiles.SCHEMA).orc(path)
+
+    def rows_read(df):
+        df = df.select("doc_id", "n_tokens")
+        out = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return len(out), scan.metrics().apply("numOutputRows").value(), plan
+
+    there, read, plan = rows_read(raw.where("doc_id = 20002"))
+    assert there == 1 and read <= 2000 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,20002)]" in plan  # a row group of 10,000 at most
+    absent, read, _ = rows_read(raw.where("doc_id = 20001"))  # within the bounds, so only the Bloom filters know
+    assert absent == 0 and read == 0
+
+
 def test_token_files_split_one_id(spark):
     docs = spark.createDataFrame([(7, f"w{i}") for i in range(400)] + [(None, "n")] * 50 + [(9, "z")], "doc_id long, text string").repartition(5)
     path = tokenfiles.new_path(spark, "tokens-orc")
