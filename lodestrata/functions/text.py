@@ -95,9 +95,14 @@ def ngrams(text: Column, n: int = 3) -> Column:
     return F.get(F.transform(F.array(chars), runs), F.lit(0))
 
 
+def word_grams(text: Column) -> Column:
+    """The 3-grams of a text that have a letter or digit."""
+    return F.filter(ngrams(text), lambda g: g.rlike("[A-Za-z0-9一-鿿]"))
+
+
 def gram_hashes(text: Column, limit: int | None = 300) -> Column:
     """Distinct short hashes of the first ``limit`` 3-grams with a letter or digit (None: all)."""
-    grams = F.filter(ngrams(text), lambda g: g.rlike("[A-Za-z0-9一-鿿]"))
+    grams = word_grams(text)
     return F.array_distinct(F.transform(F.slice(grams, 1, limit) if limit else grams, lambda g: F.substring(F.sha1(g), 1, 6)))
 
 

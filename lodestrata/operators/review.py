@@ -111,12 +111,12 @@ def project_report(files: DataFrame, facts: DataFrame, found: DataFrame, origins
 ABILITIES = {
     "web": "web http flask django fastapi rest api server url route bottle tornado aiohttp frontend browser html graphql",
     "database": "database sql mysql postgres sqlite redis mongo orm query table sqlalchemy",
-    "cli": "cli terminal shell argv console command-line",
+    "cli": "cli terminal shell argv console commandline",
     "gui": "android app ui button window desktop apk touch",
     "network": "network socket request download upload crawler scraper urlopen proxy",
     "auth": "login register password auth token jwt session permission cookie account",
     "file": "file path export import csv image compress archive",
-    "async": "async await coroutine asyncio event-loop",
+    "async": "async await coroutine asyncio eventloop",
     "pay": "pay payment order amount recharge transaction bill invoice",
     "ai": "ai llm model inference ocr speech translate",
     "threads": "thread threading concurrent parallel pool queue",
@@ -140,10 +140,12 @@ SYMPTOM_FOCUS = {
 
 
 def tags(content: Column, words: dict[str, str]) -> Column:
-    """The keys of which some word stands in a text, in order: one pass of literal patterns."""
-    low = F.lower(F.coalesce(content, F.lit("")))
-    one = lambda ws: low.rlike("(^|[^a-z0-9])(" + "|".join(ws.split()) + ")($|[^a-z0-9])")
-    return F.filter(F.array(*[F.when(one(ws), k) for k, ws in words.items()]), lambda x: x.isNotNull())
+    """The keys of which some word stands in a text, in order. A text is taken apart once, into its
+    distinct words of ASCII letters and digits."""
+    own = F.array_distinct(F.split(F.lower(F.coalesce(content, F.lit(""))), "[^a-z0-9]+"))
+    lists = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(w) for w in ws.split()]).alias("ws")) for k, ws in words.items()])
+    found = lambda mine: F.transform(F.filter(lists, lambda x: F.arrays_overlap(mine, x["ws"])), lambda x: x["k"])
+    return F.get(F.transform(F.array(own), found), F.lit(0))
 
 
 def focus(tagged: Column, of: dict[str, str]) -> Column:

@@ -11,6 +11,10 @@ looked at; an empty table gives no rows, a score of 0 and the best grade.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,26 @@ def language(path: Column) -> Column:
     return out
 
 
+def literal(r: Rule) -> Column:
+    return reduce(or_, [F.col("__low").contains(x) for x in r.literal.split("|")])
+
+
+def any_of(words) -> str:
+    """A regular expression of some words that looks at each character of a text once or twice: words
+    that begin alike are one branch."""
+    heads: dict[str, set[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], set()).add(w[1:])
+    branch = lambda c, tails: re.escape(c) + ("" if "" in tails else any_of(tails) if len(tails) > 1 else re.escape(next(iter(tails))))
+    out = "|".join(branch(c, tails) for c, tails in sorted(heads.items()))
+    return f"(?:{out})" if len(heads) > 1 else out
+
+
+def near_literals() -> tuple[str, ...]:
+    """What is in lines that rules look beside."""
+    return tuple(sorted({x for r in RULES if r.near for x in r.literal.split("|")}))
+
+
 def fits(r: Rule, columns: list[str]) -> Column:
     out = F.col("__bare" if r.on == "bare" else "__code").rlike(r.pattern)
     if r.also:
@@ -51,7 +75,7 @@ def fits(r: Rule, columns: list[str]) -> Column:
     if r.near:
         out = out & F.col("around" if "around" in columns else "__code").rlike(r.near)
     if r.literal:
-        out = F.col("__low").contains(r.literal) & out
+        out = literal(r) & out
     if r.languages and "language" in columns:
         out = F.col("language").isin(*r.languages) & out
     return out
@@ -73,7 +97,14 @@ def findings(lines: DataFrame, rules: list[Rule] | None = None, file: str = "fil
     code = lines.where(~F.col("quoted")) if "quoted" in lines.columns else lines
     code = code.withColumn("__code", F.substring("code", 1, LONGEST))
     code = code.where(~F.col("__code").rlike(COMMENT) & ~F.col("__code").rlike(r"[\"']pattern[\"']\s*:\s*[rR]?[\"']"))
-    code = code.withColumn("__bare", F.regexp_replace("__code", LITERAL, '""')).withColumn("__low", F.lower("__code"))
+    # a generator's columns are computed once; others would be computed anew by each rule that names them
+    once = lambda df, name, value: df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+    code = once(code, "__low", F.lower("__code"))
+    # most lines have no rule's literal, and go no further
+    maybe = [F.col("__low").rlike(any_of({x for r in rules if r.literal for x in r.literal.split("|")}))]
+    maybe += [F.col("language").isin(*r.languages) if r.languages and "language" in lines.columns else F.lit(True) for r in rules if not r.literal]
+    code = code.where(reduce(or_, maybe))
+    code = once(code, "__bare", F.regexp_replace("__code", LITERAL, '""'))
     # a line's findings are in one row: of two rules of a type, the first
     first = F.aggregate(F.filter(F.array(*hits), lambda h: h.isNotNull()), F.array().cast("array<struct<type:string,severity:string>>"), lambda a, h: F.when(F.exists(a, lambda x: x["type"] == h["type"]), a).otherwise(F.array_append(a, h)))
     out = code.select(file, "line", F.explode(first).alias("hit"), snippet(F.trim("code")).alias("code"))
@@ -197,7 +228,7 @@ def sql(rules: list[Rule], lines: str, file: str = "file") -> str:
     rules = of_any_file(rules)
     for r in rules:
         on = "b" if r.on == "bare" else "c"
-        parts = [f"contains(lower(c), {q(r.literal)})"] if r.literal else []
+        parts = ["(" + " OR ".join(f"contains(lower(c), {q(x)})" for x in r.literal.split("|")) + ")"] if r.literal else []
         parts += [f"regexp_matches({on}, {q(r.pattern)})"] + ([f"regexp_matches(c, {q(r.also)})"] if r.also else [])
         parts += ([f"NOT regexp_matches({on}, {q(r.guard)})"] if r.guard else []) + ([f"regexp_matches(around, {q(r.near)})"] if r.near else [])
         cases.append(f"CASE WHEN {' AND '.join(parts)} THEN {{'type': {q(r.type)}, 'severity': {q(r.severity)}}} END")

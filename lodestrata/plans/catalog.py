@@ -265,7 +265,7 @@ FOUND = f"f AS MATERIALIZED ({rules.sql(rules.RULES, ALL_LINES, 'doc_id')})"
 
 
 def document_findings(spark, d) -> DataFrame:
-    return rules.findings(files.lines(table(spark, d, "documents"), "doc_id", around=3), None, "doc_id")
+    return rules.findings(files.lines(table(spark, d, "documents"), "doc_id", around=3, only=rules.near_literals()), None, "doc_id")
 
 
 @query(f"WITH {FOUND} SELECT doc_id, line::INT AS line, type, severity, code FROM f")
@@ -442,10 +442,10 @@ def brace_depth(spark, d):
     return extract.brace_depth(files.lines(table(spark, d, "documents"), "doc_id"), "doc_id").select("doc_id", "line", "depth")
 
 
-ABILITY = " ".join(f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9])({'|'.join(ws.split())})($|[^a-z0-9])') THEN '{k}' END," for k, ws in review.ABILITIES.items()).rstrip(",")
+ABILITY = ", ".join(f"CASE WHEN list_has_any(w, [{', '.join(f"'{x}'" for x in ws.split())}]) THEN '{k}' END" for k, ws in review.ABILITIES.items())
 
 
-@query(f"SELECT doc_id, list_filter([{ABILITY}], lambda x: x IS NOT NULL) AS tags FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
+@query(f"SELECT doc_id, list_filter([{ABILITY}], lambda x: x IS NOT NULL) AS tags FROM (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+') AS w FROM documents)")
 def keyword_tagging(spark, d):
     return table(spark, d, "documents").select("doc_id", review.tags(F.col("text"), review.ABILITIES).alias("tags"))
 

@@ -196,7 +196,7 @@ def edge_table(spark) -> DataFrame:
 
 def lines(spark) -> DataFrame:
     code = project(spark).select(F.col("path").alias("file"), "text")
-    return S.lines(code, "file", around=3, python=F.col("file").endswith(".py")).withColumn("language", rules.language(F.col("file")))
+    return S.lines(code, "file", around=3, only=rules.near_literals(), python=F.col("file").endswith(".py")).withColumn("language", rules.language(F.col("file")))
 
 
 def all_findings(spark) -> DataFrame:

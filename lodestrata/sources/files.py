@@ -8,6 +8,8 @@ them; an empty folder or table gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +39,15 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, skip_t
     return out.select("path", T.file_class(F.col("path")).alias("class"), "size", "modified", T.content_fingerprint(F.col("content"), F.col("size")).alias("fingerprint"), F.when(~image, T.decoded(F.col("content"))).alias("text"))
 
 
-def lines(df: DataFrame, key: str, text: str = "text", around: int = 0, python: Column | None = None) -> DataFrame:
-    """key, line (from 1), code; with around, also the lines up to so many before and after, joined;
-    with python (which rows are Python code), also quoted: whether a line is within, or on the edge
+def lines(df: DataFrame, key: str, text: str = "text", around: int = 0, python: Column | None = None, only: tuple[str, ...] = ()) -> DataFrame:
+    """key, line (from 1), code; with around, also the lines up to so many before and after, joined
+    (only: just for lines that contain one of these in lower case, others stand alone); with python (which rows are Python code), also quoted: whether a line is within, or on the edge
     of, a triple-quoted string that stands alone. Both come from the whole text: neither needs a
     window or a shuffle."""
     if not around and python is None:
         return df.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "code")).select(key, (F.col("pos") + 1).alias("line"), "code")
-    near = lambda i: F.array_join(F.slice("__all", F.greatest(F.lit(1), i + 1 - around), around + 1 + F.least(F.lit(around), i)), "\n")
+    joined = lambda i: F.array_join(F.slice("__all", F.greatest(F.lit(1), i + 1 - around), around + 1 + F.least(F.lit(around), i)), "\n")
+    near = lambda c, i: F.when(reduce(or_, [F.lower(c).contains(x) for x in only]), joined(i)).otherwise(c) if only else joined(i)
     mark = "\x01"
     # between quotes are the odd parts; each of their lines gets a mark where the quotes open a line
     bare = lambda i: F.get("__parts", i - 1).rlike(r"(^|\n)[ \t]*[rRbBuUfF]{0,2}$")
@@ -52,7 +55,7 @@ def lines(df: DataFrame, key: str, text: str = "text", around: int = 0, python:
     flags = F.transform(F.split(F.array_join(F.transform("__parts", inside), "'"), "\n"), lambda x: x.contains(mark))
     split = df.select(key, F.split(text, "\n").alias("__all"), (F.split(F.replace(text, F.lit(mark), F.lit(" ")), "\"\"\"|'''") if python is not None else F.array()).alias("__parts"), (F.lit(False) if python is None else python).alias("__python"))
     split = split.withColumn("__flags", F.when(F.col("__python"), flags))
-    cells = lambda c, i: F.struct(c.alias("code"), *([near(i).alias("around")] if around else []), *([F.coalesce(F.get("__flags", i), F.lit(False)).alias("quoted")] if python is not None else []))
+    cells = lambda c, i: F.struct(c.alias("code"), *([near(c, i).alias("around")] if around else []), *([F.coalesce(F.get("__flags", i), F.lit(False)).alias("quoted")] if python is not None else []))
     rows = split.select(key, F.posexplode(F.transform("__all", cells)).alias("pos", "r"))
     return rows.select(key, (F.col("pos") + 1).alias("line"), "r.*")
 
