@@ -84,7 +84,7 @@ def identifier_tokens(name: Column) -> Column:
 def ngrams(text: Column, n: int = 3) -> Column:
     """All runs of n characters of the lower-cased text, in order. The characters are taken
     apart once and zipped with themselves, which is linear in the text's length."""
-    chars = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
+    chars = F.split(F.lower(text), "")
 
     def runs(c: Column) -> Column:
         out = c
@@ -102,8 +102,11 @@ def word_grams(text: Column) -> Column:
 
 def gram_hashes(text: Column, limit: int | None = 300) -> Column:
     """Distinct short hashes of the first ``limit`` 3-grams with a letter or digit (None: all)."""
-    grams = word_grams(text)
-    return F.array_distinct(F.transform(F.slice(grams, 1, limit) if limit else grams, lambda g: F.substring(F.sha1(g), 1, 6)))
+    if limit:
+        grams = F.slice(word_grams(text), 1, limit)
+    else:  # of a whole text, each gram is looked at and hashed once
+        grams = F.filter(F.array_distinct(ngrams(text)), lambda g: g.rlike("[A-Za-z0-9一-鿿]"))
+    return F.array_distinct(F.transform(grams, lambda g: F.substring(F.sha1(g), 1, 6)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

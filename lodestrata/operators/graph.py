@@ -29,7 +29,8 @@ def _cut(df: DataFrame) -> DataFrame:
 def impact(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     """node, depth of what depends on start (node), by edges source -> target read backwards;
     the least depth of each, without start itself."""
-    known = start.select("node").distinct().withColumn("depth", F.lit(0))
+    known = start.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0))
+    edges = edges.select("source", "target").where("source is not null and target is not null")
     frontier = known
     for d in range(1, depth + 1):
         found = frontier.select(F.col("node").alias("target")).join(edges.select("source", "target"), "target").select(F.col("source").alias("node")).distinct()
@@ -94,8 +95,8 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """node: what edges reach from start, itself included."""
-    known = frontier = start.select("node").distinct()
-    step = _cut(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("node != next").distinct())
+    known = frontier = start.select("node").where("node is not null").distinct()
+    step = _cut(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("node != next").distinct())  # nulls go, too
     rounds = 0
     while not frontier.isEmpty():
         found = frontier.join(step, "node").select(F.col("next").alias("node")).distinct()

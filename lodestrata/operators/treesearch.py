@@ -49,8 +49,11 @@ def dead(nodes: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def converged(newer: DataFrame, older: DataFrame, least: float = 0.9, by: str | None = None) -> DataFrame:
-    """overlap() with converged: a share of least or more; null where a layer is missing."""
-    return overlap(newer, older, by=by).withColumn("converged", F.col("overlap") >= least)
+    """overlap() with converged: a share of least or more; null where there is no older layer."""
+    out = overlap(newer, older, by=by)
+    there = older.select(by).distinct().withColumn("__older", F.lit(True)) if by else older.agg((F.count("*") > 0).alias("__older"))
+    out = out.join(F.broadcast(there) if not by else there, *([[by], "left"] if by else []))
+    return out.withColumn("converged", F.when(F.col("__older"), F.col("overlap") >= least)).drop("__older")
 
 
 def mixed_similarity(a, b) -> F.Column:
@@ -124,7 +127,7 @@ def overlap(newer: DataFrame, older: DataFrame, least: float = 0.4, by: str | No
 
     pairs = rare(a, "a").join(rare(b, "b"), [*on, "gram"]).select(*on, "ida", "idb").distinct()
     like = pairs.join(a, [*on, "ida"]).join(b, [*on, "idb"]).where(jaccard(F.col("ga"), F.col("gb")) > least).select(*on, "ida").distinct()
-    return a.select(*on, "ida").join(like.withColumn("like", F.lit(1)), [*on, "ida"], "left").groupBy(*on).agg(F.count("*").alias("nodes"), F.count("like").alias("alike")).withColumn("overlap", F.col("alike") / F.col("nodes"))
+    return a.select(*on, "ida").join(like.withColumn("like", F.lit(1)), [*on, "ida"], "left").groupBy(*on).agg(F.count("*").alias("nodes"), F.count("like").alias("alike")).withColumn("overlap", F.try_divide("alike", "nodes"))
 
 
 def _profile(s: str) -> tuple[set, Counter, int]:

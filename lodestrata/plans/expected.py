@@ -717,4 +717,220 @@ EXPECTED = {
             ('web/lib.js', 'draw,go', True),
         ],
     ),
+    'code_files': (
+        'path VARCHAR, class VARCHAR, size BIGINT, fingerprint VARCHAR',
+        [
+            ('.env', 'other', 29, '258d1f8257e7'),
+            ('README.md', 'weed', 40, '39ab921d47f3'),
+            ('app/__init__.py', 'tree', 0, 'b6589fc6ab0d'),
+            ('app/flow.py', 'tree', 247, '5d9c60070599'),
+            ('app/main.py', 'tree', 411, '837da4a00f2d'),
+            ('app/util.py', 'tree', 156, 'c61c971f96a6'),
+            ('db/store.py', 'tree', 180, 'b33b9560004a'),
+            ('requirements.txt', 'weed', 17, 'efa8c1bdd3a5'),
+            ('src/K.kt', 'tree', 94, '57aed78ef936'),
+            ('src/M.java', 'tree', 244, '316f8c89c47d'),
+            ('src/x.go', 'tree', 123, 'b14c8e759557'),
+            ('src/y.rs', 'tree', 145, '41d774453ba0'),
+            ('src/z.cpp', 'tree', 239, 'aa51aaa71463'),
+            ('tests/test_main.py', 'tree', 50, 'c96fbe8cd727'),
+            ('tools/risky.py', 'tree', 239, 'e862633ca53e'),
+            ('tools/slow.py', 'tree', 449, '9c2212f8eb77'),
+            ('web/app.js', 'tree', 220, '9b7b50032111'),
+            ('web/lib.js', 'tree', 114, '7c6ffa1085b0'),
+        ],
+    ),
+    'code_ignored': (
+        'path VARCHAR',
+        [
+            ('README.md',),
+            ('app/util.py',),
+            ('src/x.go',),
+            ('tools/risky.py',),
+            ('tools/slow.py',),
+        ],
+    ),
+    'code_bodies': (
+        'path VARCHAR, name VARCHAR, first BIGINT, last BIGINT',
+        [
+            ('app/flow.py', 'report', 4, 11),
+            ('app/main.py', '_unused', 17, 18),
+            ('app/main.py', 'serve', 10, 14),
+            ('app/main.py', 'show', 22, 23),
+            ('app/util.py', 'clean', 4, 9),
+            ('app/util.py', 'main', 12, 13),
+            ('db/store.py', 'lookup', 5, 8),
+            ('db/store.py', 'other', 11, 12),
+            ('src/K.kt', 'go', 3, 3),
+            ('src/M.java', 'M', 3, 3),
+            ('src/M.java', 'f', 4, 4),
+            ('src/M.java', 'x', 5, 5),
+            ('src/x.go', 'Run', 10, 10),
+            ('src/y.rs', 'run', 3, 3),
+            ('src/z.cpp', 'D', 3, 3),
+            ('src/z.cpp', 'bar', 4, 4),
+            ('src/z.cpp', 'z', 5, 5),
+            ('tests/test_main.py', 'helper_only', 4, 5),
+            ('tools/slow.py', 'area', 24, 25),
+            ('tools/slow.py', 'fib', 16, 19),
+            ('tools/slow.py', 'scan', 4, 13),
+            ('web/app.js', 'draw', 3, 3),
+            ('web/app.js', 'paint', 4, 4),
+            ('web/lib.js', 'draw', 2, 2),
+            ('web/lib.js', 'go', 1, 1),
+        ],
+    ),
+    'code_resolved_calls': (
+        'source VARCHAR, target VARCHAR, symbol VARCHAR',
+        [
+            ('app/main.py', 'db/store.py', 'store.lookup'),
+            ('src/M.java', 'src/y.rs', 'run'),
+            ('src/z.cpp', 'src/K.kt', 'go'),
+            ('src/z.cpp', 'web/lib.js', 'go'),
+            ('tools/risky.py', 'src/y.rs', 'subprocess.run'),
+            ('web/app.js', 'src/K.kt', 'go'),
+            ('web/app.js', 'web/lib.js', 'go'),
+            ('web/lib.js', 'src/K.kt', 'go'),
+            ('web/lib.js', 'web/app.js', 'paint'),
+        ],
+    ),
+    'code_module_edges': (
+        'source VARCHAR, target VARCHAR',
+        [
+            ('app/flow.py', 'flask'),
+            ('app/flow.py', 'flask.request'),
+            ('app/main.py', 'app.util.clean'),
+            ('app/main.py', 'app/util.py'),
+            ('app/main.py', 'db/store.py'),
+            ('app/main.py', 'flask'),
+            ('app/main.py', 'flask.request'),
+            ('app/main.py', 'os'),
+            ('app/util.py', 'app/main.py'),
+            ('db/store.py', 'app/__init__.py'),
+            ('db/store.py', 'app/util.py'),
+            ('db/store.py', 'sqlite3'),
+        ],
+    ),
+    'code_dead_ratio': (
+        'ratio DOUBLE',
+        [
+            (0.027777777777777776,),
+        ],
+    ),
+    'code_health': (
+        'lines BIGINT, layers BIGINT, clear BOOLEAN, smells DOUBLE, structure DOUBLE',
+        [
+            (110, 4, False, 63.6364, 85.0),
+        ],
+    ),
+    'code_hours': (
+        'path VARCHAR, hours DOUBLE',
+        [
+            ('tools/risky.py', 5.3333),
+            ('tools/slow.py', 12.3333),
+        ],
+    ),
+    'code_deduplicated': (
+        'path VARCHAR, line BIGINT, type VARCHAR, evidence VARCHAR',
+        [
+            ('app/flow.py', 11, 'sql-injection', None),
+            ('app/flow.py', 8, 'path-traversal', None),
+            ('db/store.py', 7, 'sql-injection', 'app/main.py'),
+        ],
+    ),
+    'code_report_json': (
+        'json VARCHAR',
+        [
+            ('{"files":18,"lines":161,"functions":27,"third_party":"flask"}',),
+        ],
+    ),
+    'code_brief_text': (
+        'text VARCHAR',
+        [
+            ('path=README.md  symbols=  summary=A web server | with login over a database\npath=requirements.txt  symbols=  summary=flask | numpy==1.0\npath=web/app.js  symbols=View,add,draw,paint  summary=\npath=web/lib.js  symbols=draw,go  summary=',),
+        ],
+    ),
+    'code_liveness': (
+        'source VARCHAR, target VARCHAR, state VARCHAR',
+        [
+            ('app/flow.py', 'flask', 'dead'),
+            ('app/flow.py', 'flask.request', 'dead'),
+            ('app/main.py', 'app.util.clean', 'dead'),
+            ('app/main.py', 'app/util.py', 'alive'),
+            ('app/main.py', 'db/store.py', 'alive'),
+            ('app/main.py', 'flask', 'dead'),
+            ('app/main.py', 'flask.request', 'dead'),
+            ('app/main.py', 'os', 'dead'),
+            ('app/util.py', 'app/main.py', 'alive'),
+            ('db/store.py', 'app/__init__.py', 'stale'),
+            ('db/store.py', 'app/util.py', 'stale'),
+            ('db/store.py', 'sqlite3', 'dead'),
+        ],
+    ),
+    'code_new_edges': (
+        'source VARCHAR, target VARCHAR',
+        [
+            ('app/main.py', 'app.util'),
+            ('app/main.py', 'app.util.clean'),
+            ('app/main.py', 'db.store'),
+            ('app/main.py', 'flask'),
+            ('app/main.py', 'flask.request'),
+            ('app/main.py', 'new'),
+            ('app/main.py', 'os'),
+        ],
+    ),
+    'code_paths': (
+        'path VARCHAR, test BOOLEAN, core BOOLEAN',
+        [
+            ('a/b.test.js', True, False),
+            ('a/plain.py', False, False),
+            ('a/shell/b.js', False, True),
+            ('a/test_b.py', True, False),
+            ('lib/auth_x.py', False, True),
+            ('tests/a.py', True, False),
+            (None, None, None),
+        ],
+    ),
+    'tree_backtrack': (
+        'at BIGINT, id BIGINT, up INTEGER',
+        [
+            (4, 2, 1),
+            (6, 2, 2),
+        ],
+    ),
+    'tree_dead': (
+        'id BIGINT, status VARCHAR',
+        [
+            (1, 'expanded'),
+            (2, 'dead_end'),
+            (3, 'open'),
+            (4, 'dead_end'),
+            (5, 'dead_end'),
+            (6, 'dead_end'),
+        ],
+    ),
+    'tree_text': (
+        'text VARCHAR',
+        [
+            ('+ root\n  + one [0.5]\n    x three [0.2]\n    * four [0.8]\n      o five\n  - two [0.9]',),
+        ],
+    ),
+    'tree_similarity': (
+        'a VARCHAR, b VARCHAR, similarity DOUBLE',
+        [
+            ('', 'x', 0.0),
+            ('A  B c', 'a b C', 1.0),
+            ('a cat sat', 'a cat sat', 1.0),
+            ('abab', 'ab', 0.5774),
+            ('night', 'nacht', 0.25),
+        ],
+    ),
+    'tree_converged': (
+        'layer INTEGER, nodes BIGINT, alike BIGINT, converged BOOLEAN',
+        [
+            (1, 1, 1, True),
+            (2, 2, 1, False),
+            (3, 1, 0, None),
+        ],
+    ),
 }

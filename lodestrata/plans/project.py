@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import detectors, dynamic, extract, graph, patterns, review, rules, similarity, taint
+from ..operators import detectors, dynamic, extract, graph, patterns, review, rules, scoring, similarity, taint, treesearch
 from ..operators import edges as E
 from ..sources import files as S
 from ..sources import store
@@ -492,4 +492,127 @@ def code_index(spark):
     return store.refresh_index(old, p, symbols).select("path", F.array_join("symbols", ",").alias("symbols"), (F.size("grams") > 0).alias("has_grams"))
 
 
+@query
+def code_files(spark):
+    return project(spark).select("path", "class", "size", "fingerprint")
+
+
+@query
+def code_ignored(spark):
+    patterns = ["*.md", "src/*.go", "**/util.py", "tools", "#web", "app/*/x"]
+    return project(spark).where(T.ignored(F.col("path"), patterns)).select("path")
+
+
+@query
+def code_bodies(spark):
+    return extract.bodies(project(spark)).select("path", "name", "first", "last")
+
+
+@query
+def code_resolved_calls(spark):
+    return edge_table(spark).where("relation = 'call'").select("source", "target", "symbol")
+
+
+@query
+def code_module_edges(spark):
+    return E.to_files(edge_table(spark).where("relation = 'import'"), project(spark)).where("source like 'app/%' or source like 'db/%'").select("source", "target").distinct()
+
+
+@query
+def code_dead_ratio(spark):
+    f = facts(spark)
+    defined = f.where("fact in ('function', 'class')").select("path", "fact", "name", "line")
+    return scoring.dead_ratio(defined.join(E.unused(f, f), ["path", "fact", "name", "line"], "left"))
+
+
+@query
+def code_health(spark):
+    """Health by smells a thousand lines of Python, and by layers."""
+    smells = detectors.detect(project(spark)).where("family = 'smell'").agg(F.coalesce(F.sum(F.when(F.col("severity") == "high", 8.0).when(F.col("severity") == "medium", 3.0).otherwise(1.0)), F.lit(0.0)).alias("points"))
+    size = project(spark).where("path like '%.py'").agg(F.sum(F.size(F.split("text", "\n"))).alias("lines"))
+    clear = scoring.clear_layers(project(spark).where("class = 'tree'").select("path"))
+    row = smells.join(F.broadcast(size)).join(F.broadcast(clear))
+    return row.select("lines", "layers", "clear", F.round(scoring.smell_health(F.col("points"), F.col("lines")), 4).alias("smells"), scoring.structure_health(F.col("clear"), F.col("layers")).alias("structure"))
+
+
+@query
+def code_hours(spark):
+    return scoring.debt_hours(detectors.detect(project(spark)), ["path"]).withColumn("hours", F.round("hours", 4))
+
+
+@query
+def code_deduplicated(spark):
+    """Findings of the rules and of taint, one for each line and type, those with evidence first."""
+    code = rules.findings(lines(spark)).select(F.col("file").alias("path"), F.col("line").cast("long").alias("line"), "type", "severity", F.lit(None).cast("string").alias("evidence"))
+    both = code.unionByName(taint.cross_file(project(spark))).unionByName(taint.in_file(project(spark))).withColumn("code", F.lit(""))
+    return rules.deduplicated(both, "path").where("path like 'app/%' or path like 'db/%'").select("path", "line", "type", "evidence")
+
+
+@query
+def code_report_json(spark):
+    return store.to_json(QUERIES["code_project_report"](spark, "").select("files", "lines", "functions", "third_party"))
+
+
+@query
+def code_brief_text(spark):
+    b = review.brief(project(spark), edge_table(spark), extract.symbols(facts(spark))).where("path like 'web/%' or class = 'weed'")
+    return review.text(b.select("path", "symbols", "summary"), ["path"])
+
+
+@query
+def code_liveness(spark):
+    e = E.to_files(edge_table(spark), project(spark)).withColumn("verified", F.col("source") != "db/store.py")
+    return E.liveness(e, project(spark).select(F.col("path").alias("file"))).where("source like 'app/%' or source like 'db/%'").select("source", "target", "state").distinct()
+
+
+@query
+def code_new_edges(spark):
+    """Edges that are inserted where they are absent."""
+    e = edge_table(spark)
+    more = E.normalized(spark.createDataFrame([("app/main.py", "flask"), ("app/main.py", "new"), ("app/main.py", "new")], "source string, target string"))
+    return E.insert_absent(e, more).where("source = 'app/main.py' and relation = 'import'").select("source", "target")
+
+
+@query
+def code_paths(spark):
+    """What is said of a path: test or not, of security's core or not."""
+    paths = spark.createDataFrame([("tests/a.py",), ("lib/auth_x.py",), ("a/shell/b.js",), ("a/test_b.py",), ("a/b.test.js",), ("a/plain.py",), (None,)], "path string")
+    return paths.select("path", rules.is_test(F.col("path")).alias("test"), rules.is_security_core(F.col("path")).alias("core"))
+
+
+def search_tree(spark) -> DataFrame:
+    rows = [(1, None, 0, 1, "expanded", False, None, "root"), (2, 1, 1, 2, "expanded", False, 0.5, "one"), (3, 1, 1, 3, "open", True, 0.9, "two"), (4, 2, 2, 4, "dead_end", False, 0.2, "three"), (5, 2, 2, 5, "scored", False, 0.8, "four"), (6, 5, 3, 6, "open", False, None, "five")]
+    return spark.createDataFrame(rows, "id long, parent long, depth int, seq long, status string, pruned boolean, total double, text string")
+
+
+@query
+def tree_backtrack(spark):
+    start = lambda i: spark.createDataFrame([(i,)], "id long")
+    one = lambda i: graph.backtrack(search_tree(spark), start(i)).select(F.lit(i).cast("long").alias("at"), "id", "up")
+    return one(4).unionAll(one(6)).unionAll(one(5))
+
+
+@query
+def tree_dead(spark):
+    return treesearch.dead(search_tree(spark), spark.createDataFrame([(2,)], "id long")).select("id", "status")
+
+
+@query
+def tree_text(spark):
+    return treesearch.render(search_tree(spark))
+
+
+@query
+def tree_similarity(spark):
+    pairs = spark.createDataFrame([("a cat sat", "a cat sat"), ("abab", "ab"), ("night", "nacht"), ("", "x"), ("A  B c", "a b C")], "a string, b string")
+    return pairs.select("a", "b", F.round(treesearch.mixed_similarity(F.col("a"), F.col("b")), 4).alias("similarity"))
+
+
+@query
+def tree_converged(spark):
+    older = spark.createDataFrame([(1, 1, "the sky is blue today"), (2, 3, "cats sleep all day")], "layer int, id int, text string")
+    newer = spark.createDataFrame([(1, 2, "the sky is blue today!"), (2, 4, "cats sleep all day"), (2, 5, "something else entirely"), (3, 6, "alone")], "layer int, id int, text string")
+    return treesearch.converged(newer, older, by="layer").select("layer", "nodes", "alike", "converged")
+
+
 ORACLES = {name: values(*EXPECTED[name]) for name in QUERIES if name in EXPECTED}
