@@ -27,9 +27,11 @@ from .common import documents, materialize, partitions
 
 #: Rows of classes that are broadcast at most; each has about 100 bytes.
 BROADCAST_ROWS = 200_000
-#: Fingerprints that a shard holds, about, and rows from which a task makes one filter.
+#: Fingerprints that a shard holds, about, and rows from which a task makes one filter a shard; no
+#: more shards than give a filter LEAST_ITEMS, so that filters of very large tables aren't all header.
 SHARD_ITEMS = 1 << 18
-TASK_ITEMS = 1 << 20
+TASK_ITEMS = 1 << 22
+LEAST_ITEMS = 64
 
 
 class CountingQuotientFilter:
@@ -156,6 +158,7 @@ def added(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def repeated_fingerprints(spark: SparkSession, fingerprints: DataFrame, rows: int) -> DataFrame:
     """(fp, n) of the fingerprints (one long column) that occur more than once."""
     shard_bits = max(int(np.ceil(np.log2(max(2, rows / SHARD_ITEMS)))), int(np.ceil(np.log2(partitions(spark)))), 1)
+    shard_bits = min(shard_bits, max(1, int(np.log2(TASK_ITEMS / LEAST_ITEMS))))
     bits = 64 - shard_bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
