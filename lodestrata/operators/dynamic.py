@@ -17,15 +17,48 @@ from pyspark.sql import functions as F
 
 from .extract import _dotted, parsed
 
-#: Modules that restricted code may import.
-ALLOWED = frozenset("math random string re json datetime collections itertools functools statistics decimal fractions heapq bisect copy operator typing dataclasses enum textwrap time calendar".split())
-NETWORK = frozenset("socket urllib http ftplib smtplib telnetlib poplib imaplib ssl asyncio requests httpx aiohttp xmlrpc socketserver".split())
-UNSAFE = frozenset("pickle marshal shelve ctypes multiprocessing subprocess importlib code codeop pty signal resource".split())
-REFUSED_CALLS = frozenset("eval exec compile __import__ globals locals vars dir help getattr setattr delattr input breakpoint".split())
-OS_CALLS = frozenset("system popen remove unlink rmdir removedirs rename replace kill fork exec execv execve spawnv chmod chown mkdir makedirs".split())
+#: Modules that restricted code may import.
+ALLOWED = frozenset("math statistics itertools collections re json string random datetime time copy functools operator typing dataclasses enum".split())
+#: Modules and calls that code in a process of its own may not have.
+NETWORK = frozenset("socket urllib urllib3 requests httpx aiohttp http ftplib telnetlib smtplib poplib imaplib ssl asyncio".split())
+UNSAFE = frozenset("ctypes pickle cPickle marshal shelve dbm anydbm code codeop pty resource fcntl mmap importlib".split())
+OS_CALLS = frozenset(
+    "system popen spawnl spawnle spawnlp spawnlpe spawnv spawnve spawnvp spawnvpe execl execle execlp execlpe execv execve execvp execvpe fork forkpty"
+    " kill killpg remove unlink rmdir removedirs rename renames replace chmod chown chroot mknod mkfifo mount umount symlink link".split()
+)
+REFUSED_CALLS = frozenset("eval exec compile __import__ input breakpoint globals locals vars dir help getattr setattr".split())
+#: Names that restricted code may neither call nor assign, and attributes it may not have.
+RESTRICTED_NAMES = frozenset(
+    "open exec eval compile __import__ getattr setattr delattr globals locals vars dir help input breakpoint exit quit memoryview classmethod"
+    " staticmethod property super type isinstance issubclass hasattr".split()
+)
+RESTRICTED_ATTRIBUTES = frozenset("__globals__ __builtins__ __class__ __bases__ __subclasses__ __mro__ __import__ __dict__ __code__ __func__ __self__ __closure__".split())
 FORMAT_ESCAPE = re.compile(r"\{\s*[^{}]*__(class|globals|bases|mro|subclasses|import|dict|code|func|self|closure)__")
 
 
+def _refused(n: ast.AST, restricted: bool, allow_files: bool) -> str:
+    """Why a node isn't allowed, or the empty text."""
+    if isinstance(n, ast.Import | ast.ImportFrom):
+        for m in [a.name for a in n.names] if isinstance(n, ast.Import) else [n.module or ""]:
+            top = m.split(".")[0]
+            if m and (top not in ALLOWED if restricted else top in NETWORK or top in UNSAFE):
+                return f"import {m}"
+    elif isinstance(n, ast.Call):
+        name = _dotted(n.func) or ""
+        if restricted:
+            if name in RESTRICTED_NAMES:
+                return f"call {name}"
+        elif name in REFUSED_CALLS or name == "open" and not allow_files or name.startswith("os.") and name.split(".")[1] in OS_CALLS or name.split(".")[0] in ("subprocess", "socket", "urllib", "requests", "httpx", "ssl"):
+            return f"call {name}"
+    elif isinstance(n, ast.Attribute):
+        special = n.attr.startswith("__") and n.attr.endswith("__")
+        if n.attr in RESTRICTED_ATTRIBUTES or (n.attr.startswith("_") and not special if restricted else special):
+            return f"attribute {n.attr}"
+    elif restricted and isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store) and n.id in RESTRICTED_NAMES:
+        return f"name {n.id}"
+    return ""
+
+
 def refusal(code: str | None, restricted: bool = False, allow_files: bool = False) -> str:
     """Why code may not run, or the empty text. restricted: only ALLOWED modules and no private
     attributes; else no network, unsafe modules or system calls."""
@@ -35,23 +68,8 @@ def refusal(code: str | None, restricted: bool = False, allow_files: bool = Fals
     if root is None:
         return "syntax"
     for n in ast.walk(root):
-        modules = [a.name for a in n.names] if isinstance(n, ast.Import) else [n.module or ""] if isinstance(n, ast.ImportFrom) else []
-        for m in modules:
-            top = m.split(".")[0]
-            if restricted and top not in ALLOWED or not restricted and (top in NETWORK or top in UNSAFE):
-                return f"import {m}"
-        if isinstance(n, ast.Call):
-            name = _dotted(n.func) or ""
-            if name in REFUSED_CALLS or name == "open" and not allow_files:
-                return f"call {name}"
-            if name.startswith("os.") and name.split(".")[1] in OS_CALLS or name.split(".")[0] in ("subprocess", "socket", "urllib", "requests", "httpx", "ssl"):
-                return f"call {name}"
-        if isinstance(n, ast.Attribute) and (n.attr.startswith("__") and n.attr.endswith("__") or restricted and n.attr.startswith("_")):
-            return f"attribute {n.attr}"
-        if restricted and isinstance(n, ast.Global | ast.Nonlocal):
-            return type(n).__name__.lower()
-        if restricted and isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store) and n.id in REFUSED_CALLS:
-            return f"name {n.id}"
+        if reason := _refused(n, restricted, allow_files):
+            return reason
     return "format" if ".format(" in code and FORMAT_ESCAPE.search(code) else ""
 
 
@@ -96,11 +114,25 @@ def error_class(error: Column) -> Column:
     return F.when(error.isNull() | (error == ""), "").otherwise(out)
 
 
-#: Inputs to try a function with, as Python literals: by category, name and value.
-BOUNDARY = {"empty": "''", "space": "' '", "blank": "' \\t\\n\\r'", "zero": "0", "minus_one": "-1", "int_max": "2**31-1", "int_min": "-2**31", "none": "None", "true": "True", "false": "False", "empty_list": "[]", "empty_dict": "{}", "empty_tuple": "()", "marks": "string.punctuation", "nul": "'\\x00'", "long": "'A'*10000"}
-HOSTILE = {"sql_true": "' OR '1'='1", "sql_drop": "1; DROP TABLE users;--", "sql_union": "' UNION SELECT * FROM passwords--", "script": "<script>alert('XSS')</script>", "image": "<img src=x onerror=alert('XSS')>", "script_url": "javascript:alert('XSS')", "shell_then": "; cat /etc/passwd", "shell_pipe": "| whoami", "shell_and": "&& rm -rf /", "up": "../../../etc/passwd", "root": "/etc/passwd", "up_windows": "..\\..\\..\\windows\\system32", "pickle": "cos\nsystem\n(S'echo pwned'\ntR.", "header": "admin\r\nSet-Cookie: session=hacked", "metadata": "http://169.254.169.254/latest/meta-data/", "other_host": "//evil.com", "entity": "<!DOCTYPE foo [<!ENTITY xxe SYSTEM \"file:///etc/passwd\">]>"}
-EXTREME = {"huge_list": "list(range(10000))", "deep": "50 nested lists", "inf": "float('inf')", "minus_inf": "float('-inf')", "nan": "float('nan')", "tiny": "1e-308", "very_negative": "-10**100", "very_large": "10**100", "complex": "1+2j", "bytes": "b'\\x00\\x01\\x02\\xff'", "set": "{1, 2, 3}", "frozenset": "frozenset([1, 2, 3])", "recursive": "a list that holds itself", "emoji": "\U0001f600\U0001f389", "scripts": "中文日本語한국어العربية", "control": "\x01\x02\x03\x1b\x7f"}
-#: Inputs for parameters whose name contains a word, the first row that fits.
+#: Inputs to try a function with, by category, name and value (as a Python literal).
+BOUNDARY = {
+    "empty_string": "''", "single_space": "' '", "whitespace_only": "' \\t\\n\\r'", "zero": "0", "negative_one": "-1", "max_int": "2**31 - 1", "min_int": "-(2**31)", "none_value": "None",
+    "true": "True", "false": "False", "empty_list": "[]", "empty_dict": "{}", "empty_tuple": "()", "special_chars": "string.punctuation", "unicode_null": "'\\x00'", "very_long_string": "'A' * 10000",
+}
+MALICIOUS = {
+    "sql_injection_1": "' OR '1'='1", "sql_injection_2": "1; DROP TABLE users;--", "sql_injection_3": "' UNION SELECT * FROM passwords--",
+    "xss_1": "<script>alert('XSS')</script>", "xss_2": "<img src=x onerror=alert('XSS')>", "xss_3": "javascript:alert('XSS')",
+    "command_injection_1": "; cat /etc/passwd", "command_injection_2": "| whoami", "command_injection_3": "&& rm -rf /",
+    "path_traversal_1": "../../../etc/passwd", "path_traversal_2": "/etc/passwd", "path_traversal_3": "..\\..\\..\\windows\\system32",
+    "serialization_payload": "cos\nsystem\n(S'echo pwned'\ntR.", "crlf_injection": "admin\r\nSet-Cookie: session=hacked", "ssrf": "http://169.254.169.254/latest/meta-data/",
+    "open_redirect": "//evil.com", "xml_external_entity": "<!DOCTYPE foo [<!ENTITY xxe SYSTEM \"file:///etc/passwd\">]>",
+}
+EXTREME = {
+    "huge_list": "list(range(10000))", "deeply_nested": "a list in a list, 50 deep", "float_max": "float('inf')", "float_min": "float('-inf')", "float_nan": "float('nan')", "float_epsilon": "1e-308",
+    "negative_huge": "-(10**100)", "positive_huge": "10**100", "complex_number": "1+2j", "bytes_data": "b'\\x00\\x01\\x02\\xff'", "set_data": "{1, 2, 3}", "frozenset_data": "frozenset([1, 2, 3])",
+    "recursive_input": "a list that holds itself", "emoji_string": "😀🎉🔥💻📱🌍🎵🎮", "multibyte_string": "中文日本語한국어العربية", "control_chars": "\x01\x02\x03\x1b\x7f",
+}
+#: Inputs for parameters whose name contains a word, the first row that fits.
 TYPED = (
     (("path", "file", "dir"), ("../../../etc/passwd", "/etc/passwd")),
     (("sql", "query", "id", "name"), ("' OR '1'='1",)),
@@ -111,7 +143,7 @@ TYPED = (
 
 def inputs(spark: SparkSession) -> DataFrame:
     """category, name, value, place (from 0, over all)."""
-    rows = [(c, n, v) for c, t in (("boundary", BOUNDARY), ("malicious", HOSTILE), ("extreme", EXTREME)) for n, v in t.items()]
+    rows = [(c, n, v) for c, t in (("boundary", BOUNDARY), ("malicious", MALICIOUS), ("extreme", EXTREME)) for n, v in t.items()]
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "category string, name string, value string, place int")
 
 

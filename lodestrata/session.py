@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -46,10 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below shared_dir()."""
-    return f"{shared_dir(spark)}/lodestrata/{tag}-{uuid.uuid4().hex}"
+    """A new path below shared_dir(); what is there goes when the driver ends, if the session still
+    runs then (else with the folder)."""
+    path = f"{shared_dir(spark)}/lodestrata/{tag}-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended
+        return
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
