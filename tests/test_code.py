@@ -332,6 +332,36 @@ def test_search_by_content(spark):
     assert 2 in {r.k for r in similarity.search(df, "parse tree", "k", "name", text="body").collect()}
 
 
+def test_search_against_brute_force(spark):
+    import collections
+    import random
+
+    rnd = random.Random(12)
+    names = [(i, "".join(rnd.choices("ab_nN", k=rnd.randint(0, 9)))) for i in range(300)]
+    df = table(spark, "k int, name string", *names)
+
+    def norm(s):
+        import re
+
+        return re.sub("(?<=[a-z0-9])(?=[A-Z])", "_", re.sub("([A-Z]+)([A-Z][a-z])", r"\1_\2", s)).lower().replace("-", "_")
+
+    grams = lambda s: [s[i : i + 3] for i in range(len(s) - 2)]
+    for query in ("banana", "aaa", "abab", "bN"):
+        q, want = collections.Counter(grams(norm(query))), {}
+        tokens = {t for t in norm(query).split("_") if t}
+        whole = {g for g in grams(query.lower()) if any(c.isalnum() for c in g)}
+        for k, name in names:
+            own = collections.Counter(grams(norm(name)))
+            ratio = sum((q & own).values()) / (sum(q.values()) * sum(own.values())) ** 0.5 if q and own else 0
+            part = bool(tokens & {t for t in norm(name).split("_") if t})
+            hit = sum(g in name.lower() for g in whole) / max(1, len(whole))
+            score = max(1.0 if name in (query, norm(query)) else 0, ratio if ratio >= 0.4 else 0.5 if part else 0, hit if hit >= 0.3 else 0)
+            if score:
+                want[k] = round(score, 6)
+        got = {r.k: round(r.score, 6) for r in similarity.search(df, query, "k", "name", 1000).collect()}
+        assert got == want, query
+
+
 def test_functions_alike(spark):
     body = "def f(a):\n    total = 0\n    for x in a:\n        total += x * 3\n    return total\n"
     df = table(spark, "path string, text string", ("a.py", body), ("b.py", body.replace("total", "totals")), ("c.py", "def g(z):\n    return [w.strip().lower() for w in z.split(',') if w]\n"), ("a2.py", body))
