@@ -1,6 +1,7 @@
-"""The rows that queries over the invented project are expected to give, worked out from its files.
+"""The rows that queries over the invented project are expected to give.
 
-For each query: its columns with DuckDB's types, and the rows.
+They were taken from the operators' results once and read against the files, row by row: they hold what
+was right then, and are no second way to the same rows. For each query: its columns with DuckDB's types, and the rows.
 """
 
 # fmt: off

@@ -1,7 +1,8 @@
 """Queries over an invented project: a few files of each language, as a table.
 
 The test tables hold no source code, so these queries bring theirs. Their SQL is the rows that are
-expected of them, worked out by hand from the files below (expected.py).
+expected of them (expected.py): results that were read against the files below, not a second way to
+them. Brute-force versions and positive and negative twins are in the tests.
 """
 
 from __future__ import annotations
