@@ -143,6 +143,24 @@ def test_scores(spark):
     assert [(r.score, r.grade, r.trend) for r in got] == [(90.0, "A", "new"), (10.0, "F", "down")]
 
 
+def test_composite_sends_halves_to_the_even_tenth(spark):
+    # the means are 61.650000000000006 and 63.949999999999996 as doubles
+    dims = table(spark, "run int, dim string, score double", *[(i, d, x) for i, xs in enumerate([(74.0, 21.0, 95.0, 96.0, 31.0, 50.0), (71.0, 35.0, 95.0, 93.0, 31.0, 50.0)]) for d, x in zip(scoring.WEIGHTS, xs, strict=True)])
+    assert [r.score for r in scoring.composite(dims, ["run"]).orderBy("run").collect()] == [61.6, 64.0]
+
+
+def test_grade_trend_equals_its_sql_beyond_the_smallest_tables(spark):
+    import pytest
+
+    from lodestrata.plans import catalog
+
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.sql("create view orders as select * from '/root/testdata/sf0.1/orders.parquet'")
+    got = catalog.QUERIES["grade_trend"](spark, "/root/testdata/sf0.1")
+    assert {tuple(r) for r in got.collect()} == set(db.sql(catalog.ORACLES["grade_trend"]).fetchall())
+
+
 def test_similarity_is_exact(spark):
     import itertools
     import random
